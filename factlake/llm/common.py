@@ -84,3 +84,8 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
         .withColumn(name, F.coalesce(F.col("_base"), F.lit(0)) + F.col("_in"))
         .drop("_pid", "_in", "_base")
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .mixing import op7_mix_sources
+from .quality_rules import OP8_SQL, op8_quality_rules
+from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL = {
+    "op2_url_filter": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op8_quality_rules": OP8_SQL,
 }
