@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op7_mix_sources
+from .packing import op1_pack
 from .pii import OP10_SQL, op10_pii
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .secret_scan import OP3_SQL, op3_secret_scan
+from .token_output import op5_token_output
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_output": op5_token_output,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op10_pii": op10_pii,
