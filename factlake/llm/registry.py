@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op7_mix_sources
+from .ngram_join import op6_ngram_join
 from .packing import op1_pack
 from .pii import OP10_SQL, op10_pii
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_output": op5_token_output,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op10_pii": op10_pii,
