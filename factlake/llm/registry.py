@@ -10,6 +10,7 @@ from .pii import OP10_SQL, op10_pii
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .secret_scan import OP3_SQL, op3_secret_scan
 from .token_output import op5_token_output
+from .toxicity import op9_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
