@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import maybe_broadcast, new_folder, shared_dir, stash  # noqa: F401
+
 #: Blanks are these six characters; words are runs of all others.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only below this many rows, counted before.
-BROADCAST_ROWS = 50_000
 
 DOCUMENTS = T.StructType(
     [
@@ -29,34 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where a session has none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='factlake-shared-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/factlake/{what}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, what: str = "stash") -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends here, lost executors cost no recomputing,
-    and a later reader sees exactly these rows."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` (a stashed table) hinted for broadcast if it has at most ``limit`` rows; otherwise Spark shuffles it."""
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
-
-
 def words_array(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

@@ -51,13 +51,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns. Repeated rows with one doc_id and text stay once."""
     verdict = dedup_groups(docs)
     keepers = verdict.where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("_sha", F.sha2(without_blanks(F.col("text")), 256))
-    cond = keyed["doc_id"].eqNullSafe(keepers["doc_id"]) & (keyed["_sha"] == keepers["text_sha256"])
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(without_blanks(F.col("text")), 256).alias("_sha"))
+    cond = F.col("_id").eqNullSafe(keepers["doc_id"]) & (F.col("_sha") == keepers["text_sha256"])
     kept = keyed.join(keepers, cond, "left_semi")
     repeated = verdict.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.drop("_sha")
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["_id", "_sha"])
+    return kept.select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,16 +79,17 @@ def _take(sized: DataFrame, weights, max_epochs: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns kept. A fractional repetition is a row
     with the text's first words, joined by single blanks, and its own n_chars."""
-    taken = take(docs, **options)
+    taken = take(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     repeats = F.concat(F.array_repeat(F.lit(0).cast("long"), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = taken.withColumn("_part", F.explode(repeats))
-    cut = F.array_join(F.slice(words_array(F.col("text")), 1, F.col("_part").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("text")))
+    rows = taken.select("_row", F.explode(repeats).alias("_part"))
+    cut = F.array_join(F.slice(words_array(F.col("_row.text")), 1, F.col("_part").cast("int")), " ")
+    rows = rows.withColumn("_cut", F.when(F.col("_part") > 0, cut))
+    row = F.col("_row").withField("text", F.coalesce("_cut", "_row.text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        row = row.withField("n_chars", F.coalesce(F.char_length("_cut").cast(dict(docs.dtypes)["n_chars"]), F.col("_row.n_chars")))
+    return rows.select(row.alias("_row")).select("_row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

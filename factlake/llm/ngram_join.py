@@ -176,15 +176,16 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
 
 def drop_near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest doc_id; all columns. Rows without words stay. Of
-    repeated rows with that doc_id one stays."""
+    repeated rows with that doc_id and one text one stays."""
     found = jaccard_components(docs, words=words, percent=percent)
     gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = maybe_broadcast(stash(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "twice"))
-    if repeated.isEmpty():
-        return kept
-    twice = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
+    kept = rows.join(maybe_broadcast(gone), F.col("_id") == F.col("_gone"), "left_anti")
+    repeated = stash(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    if not repeated.isEmpty():
+        side, twice = maybe_broadcast(repeated), F.col("_id").eqNullSafe(F.col("_twice"))
+        kept = kept.join(side, twice, "left_anti").unionByName(kept.join(side, twice, "left_semi").dropDuplicates(["_id", "_text"]))
+    return kept.select("_row.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

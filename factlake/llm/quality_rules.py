@@ -98,20 +98,20 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE
     """Per document row: the rules' figures, base_failed and kept. Null or missing hosts are judged as one host; repeated
     rows count each; an empty table gives an empty result."""
     judged = stash(document_rules(docs.select("doc_id", host, "text")).drop("text"), "rules")
-    bad = maybe_broadcast(stash(bad_hosts(judged, host, max_rate), "bad_hosts")).withColumnRenamed(host, "_bad").withColumn("_is_bad", F.lit(True))
-    out = judged.join(bad, judged[host].eqNullSafe(bad["_bad"]), "left")
+    bad = stash(bad_hosts(judged, host, max_rate).select(F.col(host).alias("_bad"), F.lit(True).alias("_is_bad")), "bad_hosts")
+    out = judged.join(maybe_broadcast(bad), judged[host].eqNullSafe(bad["_bad"]), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("_is_bad").isNull()).drop("_bad", "_is_bad")
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``docs`` without the rows that ``judge`` rejects, all columns kept. The texts are read and judged once; the texts of
     rows that fail on their own are not stored."""
-    flagged = document_rules(docs).select(*docs.columns, F.col("base_failed").alias("_failed"))
-    first = stash(flagged.withColumn("text", F.when(~F.col("_failed"), F.col("text"))), "rules")
-    bad = stash(bad_hosts(first.select(host, F.col("_failed").alias("base_failed")), host, max_rate), "bad_hosts")
-    good = first.where(~F.col("_failed")).drop("_failed")
-    bad = maybe_broadcast(bad).withColumnRenamed(host, "_bad")
-    return good.join(bad, good[host].eqNullSafe(bad["_bad"]), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(host).alias("_host"), "text")
+    flagged = document_rules(rows).select("_row", "_host", "base_failed")
+    first = stash(flagged.withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))), "rules")
+    bad = stash(bad_hosts(first.select("_host", "base_failed"), "_host", max_rate).withColumnRenamed("_host", "_bad"), "bad_hosts")
+    good = first.where(~F.col("base_failed"))
+    return good.join(maybe_broadcast(bad), good["_host"].eqNullSafe(bad["_bad"]), "left_anti").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
