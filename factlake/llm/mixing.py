@@ -50,15 +50,21 @@ def take(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed
 
     The order inside a source is cut into about sqrt(n) buckets of hash ranges, each ranked on its own over the sums of the
     buckets before it, so that a source with a third of all rows spreads over many tasks."""
-    sized = stash(docs.withColumn("size", F.size(words_array(F.col("text"))).cast("long")), "sized")
-    return _take(sized, weights, max_epochs, seed)
+    taken = _take(_sized(docs), weights, max_epochs, seed)
+    added = ["size", "source_size", "target", "taken"]
+    return taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """Each row whole, so that its columns cannot clash with those added, with its doc_id, source and size."""
+    size = F.size(words_array(F.col("text"))).cast("long")
+    return stash(docs.select(F.struct("*").alias("_row"), "doc_id", "source", size.alias("size")), "sized")
 
 
 def _take(sized: DataFrame, weights, max_epochs: int, seed: int) -> DataFrame:
     targets = stash(source_targets(sized, weights, max_epochs), "targets")
-    side = maybe_broadcast(targets).withColumnRenamed("source", "_s").drop("size")
-    base = sized.drop("source_size", "target", "taken")
-    d = base.join(side, base["source"].eqNullSafe(side["_s"])).drop("_s")
+    side = maybe_broadcast(targets).withColumnRenamed("source", "_s")
+    d = sized.join(side, sized["source"].eqNullSafe(side["_s"])).drop("_s")
     span = 1 << 30
     d = d.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(span)))
     d = d.withColumn("_b", F.floor(F.col("_r") * F.ceil(F.sqrt("n")) / span).cast("long"))
@@ -76,10 +82,10 @@ def _take(sized: DataFrame, weights, max_epochs: int, seed: int) -> DataFrame:
     return d.withColumn("_ahead", ahead).withColumn("taken", whole * F.col("size") + extra).drop("_r", "_b", "_before", "_ahead", "n")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns kept. A fractional repetition is a row
     with the text's first words, joined by single blanks, and its own n_chars."""
-    taken = take(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), **options)
+    taken = _take(_sized(docs), weights, max_epochs, seed)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     repeats = F.concat(F.array_repeat(F.lit(0).cast("long"), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
