@@ -5,7 +5,7 @@ document pivots alone cannot part them; the first pivots are therefore single sh
 those of its nearest pivots, as many as a partner within the radius may lack, and one more. Inside a region the most central
 document is the next pivot: its distances put documents into its cell (linked through it) or beyond, and by the triangle
 inequality only documents whose distances to the pivot differ by at most the radius can be linked. Regions that are not yet
-one component are divided again by further pivots, and at last joined exactly. Whole sets decide every link.
+one component are divided again by further pivots, and at last joined exactly. Pairs already in one component are left out. Whole sets decide every link.
 """
 
 from __future__ import annotations
@@ -94,10 +94,15 @@ def _candidates(heads: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, p, distance, linked) of the distinct pairs (x, p), from their whole sets."""
-    left = sets.select(F.col("node").alias("x"), F.col("hashes").alias("hx"))
-    right = sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp"))
-    both = pairs.select("x", "p").distinct().join(left, "x").join(right, "p")
+    """(x, p, distance, linked) of the distinct pairs (x, p), from their whole sets. Only the sets of nodes in pairs move."""
+    pairs = stash(pairs.select("x", "p").distinct(), "pairs")
+
+    def side(node: str, hashes: str) -> DataFrame:
+        found = sets.select(F.col("node").alias(node), F.col("hashes").alias(hashes))
+        few = maybe_broadcast(stash(pairs.select(node).distinct(), "ends"))
+        return found.join(few, node, "left_semi")
+
+    both = pairs.join(side("x", "hx"), "x").join(side("p", "hp"), "p")
     common = F.size(F.array_intersect("hx", "hp"))
     union = F.size("hx") + F.size("hp") - F.col("common")
     return both.withColumn("common", common).select(
@@ -105,8 +110,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, p) between nodes, enough that their components are those of all links. ``sets``: node, n, hashes."""
+def _labelled(rows: DataFrame, named: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component found so far of a node; a node without links is its own."""
+    found = named.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (x, p): those found so far count as one node each."""
+    between = stash(_labelled(_labelled(links, named, "x", "a"), named, "p", "b").select("a", "b").where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return named
+    top = components(between, "a", "b")
+    old = named.join(top.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    old = old.select("node", F.coalesce("_to", "component").alias("component"))
+    return stash(old.unionByName(top.join(named.select("node"), "node", "left_anti")), "components")
+
+
+def _node_components(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the nodes that link with another. ``sets``: node, n, hashes.
+
+    A pair whose nodes are already in one component is not compared, so most nodes of a large group are compared with one
+    pivot only; a distance that was not measured excludes nothing."""
     tokens = sets.select("node", "n", F.explode("hashes").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
@@ -115,40 +140,54 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     near = shared.withColumn("lone", lone).withColumn("near", window).where("near > 0")
     members = near.select("node", "n", "lone", F.explode(F.slice("by", F.lit(1), F.col("near").cast("int"))["h"]).alias("region"))
     members = stash(members, "regions")  # a region of one has no partner for it
-    rank = F.struct((F.col("lone") / F.col("n")).alias("lone"), F.col("node").alias("node"))
     radius = 1 - percent / 100 + 1e-9
+    alike = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
+    within = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius, F.lit(True))
 
-    pivots = members.groupBy("region").agg(F.min(rank)["node"].alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
+    center = F.min(F.struct((F.col("lone") / F.col("n")).alias("lone"), "node", "n"))
+    pivots = members.groupBy("region").agg(center.alias("_p"), F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("region", F.col("_p.node").alias("p"), F.col("_p.n").alias("np"))
     members = stash(members.join(pivots, "region"), "regions")
-    distances = stash(_verified(members.select(F.col("node").alias("x"), "p").where("x <> p"), sets, percent), "distances")
-    links = distances.where("linked").select("x", "p")
-    members = members.join(distances.select(F.col("x").alias("node"), "p", "distance"), ["node", "p"], "left")
-    members = stash(members.select("region", "node", "n", "lone", F.coalesce("distance", F.lit(0.0)).alias("d")), "regions")
+    votes = members.where((F.col("node") != F.col("p")) & alike).groupBy(F.col("node").alias("x"), "p").agg(F.count("*").alias("votes"))
+    votes = stash(votes, "votes")
+    first = votes.groupBy("x").agg(F.max_by("p", F.struct("votes", (-F.col("p")).alias("_low"))).alias("p"))
+    measured = stash(_verified(first, sets, percent), "distances")
+    named = components(measured.where("linked").select("x", "p"), "x", "p")
+    rest = votes.select("x", "p").join(measured.select("x", "p"), ["x", "p"], "left_anti")
+    rest = _labelled(_labelled(rest, named, "x", "a"), named, "p", "b").where("a <> b")
+    more = stash(_verified(rest, sets, percent), "distances")
+    named = _merged(named, more.where("linked"))
+
+    known = measured.unionByName(more).select(F.col("x").alias("node"), "p", "distance")
+    members = members.join(known, ["node", "p"], "left")
+    d = F.when(F.col("node") == F.col("p"), F.lit(0.0)).otherwise(F.col("distance"))
+    members = stash(members.select("region", "node", "n", "lone", d.alias("d")), "regions")
     for turn in range(MAX_PIVOT_ROUNDS):
-        found = components(links, "x", "p")
-        named = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        sizes = named.groupBy("region", "c").agg(F.count("*").alias("k"))
+        labelled = _labelled(members, named, "node", "c")
+        sizes = labelled.groupBy("region", "c").agg(F.count("*").alias("k"))
         main = sizes.groupBy("region").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("m"), F.max("k").alias("top"))
-        main = main.where("m > top")
-        opened = stash(named.join(main, "region"), "open")
+        opened = stash(labelled.join(main.where("m > top"), "region"), "open")
         row = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") != F.col("main"), F.col("m")).otherwise(0)).alias("work")).first()
         if not row["n"]:
-            return links
+            return named
         others = opened.where("c <> main")
-        if row["work"] <= WORK_PER_MEMBER * max(row["n"], 10_000) or turn == MAX_PIVOT_ROUNDS - 1:
-            u = others.select("region", F.col("node").alias("p"), F.col("c").alias("cp"), F.col("d").alias("dp"), F.col("n").alias("np"))
-            pairs = u.join(opened, "region").where(
-                (F.col("c") != F.col("cp")) & ((F.col("c") == F.col("main")) | (F.col("node") < F.col("p")))
-                & (F.abs(F.col("d") - F.col("dp")) <= radius) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np"))
-            )
-            last = _verified(pairs.select(F.col("node").alias("x"), "p"), sets, percent)
-            return links.unionByName(stash(last.where("linked").select("x", "p"), "links"))
-        further = others.groupBy("region").agg(F.min(rank)["node"].alias("p"))
-        pairs = opened.join(further, "region").where("node <> p").select(F.col("node").alias("x"), "p")
-        links = links.unionByName(stash(_verified(pairs, sets, percent).where("linked").select("x", "p"), "links"))
-        members = opened.join(further, "region").where("node <> p").select("region", "node", "n", "lone", "d")  # the pivot is done
-        members = stash(members, "regions")
-    return links
+        last = row["work"] <= WORK_PER_MEMBER * max(row["n"], 10_000) or turn == MAX_PIVOT_ROUNDS - 1
+        if last:  # every member outside the main component with every member of another
+            ends = others.select("region", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("c").alias("cp"))
+            order = (F.col("c") == F.col("main")) | (F.col("node") < F.col("p"))
+        else:
+            center = F.min(F.struct((F.col("lone") / F.col("n")).alias("lone"), "node", "n", "d", "c"))
+            ends = others.groupBy("region").agg(center.alias("_p"))
+            ends = ends.select("region", F.col("_p.node").alias("p"), F.col("_p.n").alias("np"), F.col("_p.d").alias("dp"), F.col("_p.c").alias("cp"))
+            order = F.lit(True)
+        met = opened.join(ends, "region")
+        pairs = met.where(order & (F.col("c") != F.col("cp")) & alike & within).select(F.col("node").alias("x"), "p")
+        links = stash(_verified(pairs, sets, percent), "links").where("linked").select("x", "p")
+        named = _merged(named, links)
+        if last:
+            return named
+        members = stash(met.where("node <> p").select("region", "node", "n", "lone", "d"), "regions")  # the pivot is done
+    return named
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -162,11 +201,11 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     some = _candidates(heads, percent)
     nodes = some.groupBy("digest").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.count("*").alias("rows"))
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    ids = maybe_broadcast(nodes.select(F.col("label").alias("_id")))
+    ids = nodes.select(F.col("label").alias("_id"))
     chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = shingle_table(chosen, True, words, percent).select("digest", "hashes").dropDuplicates(["digest"])
     sets = stash(sets.join(nodes.select("digest", "node", "n"), "digest").select("node", "n", "hashes"), "sets")
-    found = components(_links(sets, percent), "x", "p")
+    found = _node_components(sets, percent)
     named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     lowest = named.groupBy("c").agg(F.min("label").alias("lowest"))
     named = maybe_broadcast(stash(named.join(lowest, "c").select("digest", "lowest"), "named"))
