@@ -15,6 +15,9 @@ from factlake.llm.ngram_join import drop_near_copies
 from factlake.llm.packing import pack_documents
 from factlake.llm.quality_rules import keep_good
 
+#: Shingles and least Jaccard similarity of near copies; op6's own contract (4 words, 85) binds only its query.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the document and host rules keep."""
@@ -28,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies."""
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
