@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table
-from .spans import DOUBLED, duckdb_joined, duckdb_spans, find_spans, joined, plain_text
+from .spans import CONTEXT, DOUBLED, duckdb_joined, duckdb_spans, find_spans, joined, plain_text
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 #: The base patterns, fixed, in the plain form that DuckDB runs.
@@ -28,7 +28,11 @@ _EMAIL_FLAT = (
 )
 _IP_FLAT = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD_FLAT = r"[0-9][0-9\x20-]{10,}[0-9]"
-_IBAN_FLAT = rf"(?<![A-Za-z0-9_]){IBAN}(?![A-Za-z0-9_])"
+#: An IBAN may have single blanks. Only its first four characters are matched; the rest is read from the text after them, so
+#: that a proposal does not hide the next one.
+_IBAN_TAIL = r"(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
+_IBAN_HEAD = rf"(?<![A-Za-z0-9_])[A-Z]{{2}}[0-9]{{2}}(?={_IBAN_TAIL})"
+_IBAN_AHEAD = 2 * 30 + 1
 _SSN_FLAT = rf"(?<![A-Za-z0-9_]){SSN}(?![A-Za-z0-9_])"
 
 #: Scores: of the pattern, what a passed checksum adds, what a word nearby adds or takes, and the least to report.
@@ -67,6 +71,34 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(number, ""), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97) == 1
 
 
+def _ibans(text: Column) -> Column:
+    """Spans of the IBANs in a text that pass mod-97, blanks as printed. Of the ends before a blank that pass, the first word
+    alone is taken if it is one, as nothing in it is a guess; else the longest."""
+
+    def ends(x: Column) -> Column:
+        words = F.split(F.concat(x["v"], F.regexp_extract(x["after"], "^" + _IBAN_TAIL, 0)), " ")
+
+        def candidates(w: Column) -> Column:
+            counts = F.concat(F.array(F.lit(1)), F.when(F.size(w) > 1, F.sequence(F.size(w), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>")))
+            return F.transform(counts, lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))
+
+        def valid(v: Column) -> Column:
+            iban = F.translate(v, " ", "")
+            return F.char_length(iban).between(15, 34) & mod97(iban)
+
+        return F.get(F.filter(let(words, candidates), valid), F.lit(0))
+
+    def whole(x: Column) -> Column:
+        def of(v: Column) -> Column:
+            end = x["s"] + F.char_length(v)
+            after = F.substring(x["after"], F.char_length(v) - F.char_length(x["v"]) + 1, F.lit(CONTEXT))
+            return F.struct(x["s"].alias("s"), x["k"].alias("k"), end.alias("e"), v.alias("v"), x["before"].alias("before"), after.alias("after"))
+
+        return let(ends(x), of)
+
+    return F.filter(F.transform(find_spans(text, _IBAN_HEAD, 4, _IBAN_AHEAD + CONTEXT), whole), lambda x: x["v"].isNotNull())
+
+
 def _score(kind: str, checked: bool) -> Column:
     def of(x: Column) -> Column:
         near = F.lower(F.concat(F.coalesce(x["before"], F.lit("")), F.lit(" "), F.coalesce(x["after"], F.lit(""))))
@@ -95,7 +127,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         some(F.filter(find_spans(F.col("_t"), _IP_FLAT, 1), lambda x: F.forall(F.split(x["v"], r"\."), byte)), has_digit).alias("ip"),
         some(F.filter(find_spans(doubled("[ -]"), _CARD_FLAT, 2), lambda x: count(x).between(12, 19) & luhn(digits(x["v"]))), has_digit).alias("card"),
         some(F.filter(find_spans(F.col("_t"), PHONE, 3), lambda x: count(x).between(9, 15)), F.contains("_t", F.lit("+"))).alias("phone"),
-        some(F.filter(find_spans(F.col("_t"), _IBAN_FLAT, 4), lambda x: mod97(x["v"]) & (_score("iban", True)(x) >= LEAST)), has_digit).alias("iban"),
+        some(F.filter(_ibans(F.col("_t")), lambda x: _score("iban", True)(x) >= LEAST), has_digit).alias("iban"),
         some(F.filter(find_spans(F.col("_t"), _SSN_FLAT, 5), lambda x: _score("ssn", False)(x) >= LEAST), has_digit).alias("ssn"),
     )
     t = t.withColumn("_base", F.concat(*KINDS[:4]))

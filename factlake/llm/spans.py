@@ -24,26 +24,43 @@ def plain_text(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), MARK + DOUBLED, PLAIN + PLAIN)
 
 
-def find_spans(text: Column, pattern: str, kind: int) -> Column:
+def find_spans(text: Column, pattern: str, kind: int, ahead: int = CONTEXT) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` as structs (start s, kind k, end e, value v, context before and
-    after), in order."""
+    after), in order. The context is what stands in the text, other matches included: CONTEXT code points before and
+    ``ahead`` after."""
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
 
     def fold(p: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+        # every second part is a match and not empty, so a context lies within twice as many parts as it has code points
+        tails = F.transform(p, lambda x: F.right(x, F.lit(CONTEXT)))
+        heads = F.transform(p, lambda x: F.left(x, F.lit(ahead)))
+        return let(F.struct(tails.alias("tails"), heads.alias("heads")), lambda ends: _walk(p, ends["tails"], ends["heads"], kind, ahead))
 
-        def step(a: Column, x: Column) -> Column:
-            end = a["at"] + F.char_length(x)
-            span = F.struct(
-                a["at"].alias("s"), F.lit(kind).alias("k"), end.alias("e"), x.alias("v"),
-                F.right(F.get(p, a["i"] - 1), F.lit(CONTEXT)).alias("before"), F.left(F.get(p, a["i"] + 1), F.lit(CONTEXT)).alias("after"),
-            )
-            out = F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"])
-            return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), out.cast(SPAN).alias("out"))
+    return let(parts, fold)
 
-        return F.aggregate(p, zero, step, lambda a: a["out"])
 
-    return let(parts, fold)
+def _walk(p: Column, tails: Column, heads: Column, kind: int, ahead: int) -> Column:
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+
+    def before(i: Column) -> Column:
+        last = F.get(tails, i - 1)
+        several = F.array_join(F.slice(tails, F.greatest(i - 2 * CONTEXT + 1, F.lit(1)), F.least(i, F.lit(2 * CONTEXT))), "")
+        return F.when(F.char_length(last) >= CONTEXT, last).otherwise(F.right(several, F.lit(CONTEXT)))
+
+    def after(i: Column) -> Column:
+        first = F.get(heads, i + 1)
+        return F.when(F.char_length(first) >= ahead, first).otherwise(F.left(F.array_join(F.slice(heads, i + 2, F.lit(2 * ahead)), ""), F.lit(ahead)))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.char_length(x)
+        span = F.struct(
+            a["at"].alias("s"), F.lit(kind).alias("k"), end.alias("e"), x.alias("v"),
+            before(a["i"]).alias("before"), after(a["i"]).alias("after"),
+        )
+        out = F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"])
+        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), out.cast(SPAN).alias("out"))
+
+    return F.aggregate(p, zero, step, lambda a: a["out"])
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
