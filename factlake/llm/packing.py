@@ -26,12 +26,13 @@ END_ID = 0
 BUCKET_ROWS = 4096
 
 
-def cut_documents(docs: DataFrame, *, vocabulary_path: str, keeps_blanks: bool, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def cut_documents(docs: DataFrame, *, vocabulary_path: str, keeps_blanks: bool, end_id: int = END_ID, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every row. A text (null: empty) is its ids and ``end_id``;
-    only one longer than ``capacity`` is cut, into pieces of that length of which the first may be shorter."""
+    only one longer than ``capacity`` is cut, into pieces of that length of which the first may be shorter. ``added``: as for
+    WordMemo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo(vocabulary_path, keeps_blanks)
+        encoder = memo(vocabulary_path, keeps_blanks, added)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -170,10 +171,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    cut = cut_documents(docs, vocabulary_path=vocabulary("byte_bpe_50k.json"), keeps_blanks=True, capacity=capacity)
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    cut = cut_documents(docs, vocabulary_path=vocabulary("byte_bpe_50k.json"), keeps_blanks=True, capacity=capacity, added=added)
     return pack_pieces(stash(cut, "pieces"), capacity)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=True)

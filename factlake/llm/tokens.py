@@ -32,13 +32,18 @@ class WordMemo:
     A text is cut at single blanks or line ends between other characters, where neither tokenizer can join what stands
     before and after; each part is encoded once and kept. A text that has other white space at such places is encoded as a
     whole. ``keeps_blanks``: whether the blank before a word is part of its token (byte-level vocabularies) or dropped.
+    ``added``: whether a special string of the vocabulary in a text gives its own id, as that call does when nothing else is
+    set (a text that holds one is encoded as a whole), or is ordinary text (``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, keeps_blanks: bool):
+    def __init__(self, path: str, keeps_blanks: bool, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        # in any case of letters, as some are looked up in the normalized text
+        self.holds_added = re.compile("|".join(map(re.escape, strings)), re.I).search if strings else lambda text: None
         self.parts = re.compile(r"[ \n]?[^ \n]+" if keeps_blanks else r"[^ \n]+").findall
         self.keeps_blanks = keeps_blanks
         self.kept: dict[str, bytes] = {}
@@ -55,7 +60,8 @@ class WordMemo:
         if len(kept) > KEPT_WORDS:
             for _ in range(DROPPED_WORDS):  # the first seen are the most frequent
                 kept.popitem()
-        cut = [self.parts(t) for t in texts]
+        whole = [self.holds_added(t) is not None for t in texts]
+        cut = [[] if w else self.parts(t) for t, w in zip(texts, whole)]
         new = list({p for parts in cut for p in parts if p not in kept})
         unsafe = {p for p in new if self._unsafe(p)} if self.keeps_blanks else set()
         if unsafe:
@@ -64,23 +70,24 @@ class WordMemo:
             some = new[at : at + 4096]
             kept.update(zip(some, self._ids(some)))
         out = []
-        for text, parts in zip(texts, cut):
-            if self.keeps_blanks and (sum(map(len, parts)) != len(text) or unsafe and not unsafe.isdisjoint(parts)):
+        for text, parts, all_at_once in zip(texts, cut, whole):
+            if all_at_once or self.keeps_blanks and (sum(map(len, parts)) != len(text) or unsafe and not unsafe.isdisjoint(parts)):
                 out.append(self._ids([text])[0])
             else:
                 out.append(b"".join([kept[p] for p in parts]))
         return out
 
 
-def memo(path: str, keeps_blanks: bool) -> WordMemo:
-    """The worker's memo for a vocabulary; it lives as long as the Python worker, over all its tasks."""
+def memo(path: str, keeps_blanks: bool, added: bool = False) -> WordMemo:
+    """The worker's memo for a vocabulary and treatment of its special strings; it lives as long as the Python worker, over all its tasks."""
     holder = sys.modules.setdefault("_factlake_word_memos", types.ModuleType("_factlake_word_memos"))
-    if path not in holder.__dict__:
+    name = f"{path} {added}"
+    if name not in holder.__dict__:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        holder.__dict__[path] = WordMemo(path, keeps_blanks)
-    return holder.__dict__[path]
+        holder.__dict__[name] = WordMemo(path, keeps_blanks, added)
+    return holder.__dict__[name]
 
 
 def in_slices(values: list, count: int = 256, chars: int = 1 << 20) -> Iterator[tuple[int, list]]:
