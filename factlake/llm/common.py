@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import maybe_broadcast, new_folder, shared_dir, stash  # noqa: F401
+from ..sources.shared import global_rank, maybe_broadcast, new_folder, shared_dir, stash  # noqa: F401
 
 #: Blanks are these six characters; words are runs of all others.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -35,26 +35,6 @@ def without_blanks(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: the 0-based rank of each row by ``order``, without one task seeing all rows: range partitions are
-    numbered on their own and shifted by the sizes of those before them (one small row a partition)."""
-    from pyspark.sql import Window
-
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    ranged = stash(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_pid").count()
-    base = sizes.select(
-        "_pid", (F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_base")
-    )
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1
-    return (
-        ranged.withColumn("_in", inside)
-        .join(F.broadcast(base), "_pid")
-        .withColumn(name, F.coalesce(F.col("_base"), F.lit(0)) + F.col("_in"))
-        .drop("_pid", "_in", "_base")
-    )
-
-
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
