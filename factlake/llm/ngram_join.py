@@ -5,7 +5,7 @@ document pivots alone cannot part them; the first pivots are therefore single sh
 those of its nearest pivots, as many as a partner within the radius may lack, and one more. Inside a region the most central
 document is the next pivot: its distances put documents into its cell (linked through it) or beyond, and by the triangle
 inequality only documents whose distances to the pivot differ by at most the radius can be linked. Regions that are not yet
-one component are divided again by further pivots, and at last joined exactly. Pairs already in one component are left out. Whole sets decide every link.
+one component meet further pivots one by one (the region and its first pivot's distances stay), and at last are joined exactly. Pairs already in one component are left out. Whole sets decide every link.
 """
 
 from __future__ import annotations
