@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import global_rank, maybe_broadcast, new_folder, shared_dir, stash  # noqa: F401
+from ..sources.shared import forget, global_rank, maybe_broadcast, new_folder, shared_dir, stash  # noqa: F401
 
 #: Blanks are these six characters; words are runs of all others.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -38,3 +38,12 @@ def without_blanks(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fingerprint(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes ``f1`` and ``f2`` of all columns of a row; rows with equal ones count as equal in all columns."""
+    nested = ("array", "map", "struct", "variant")
+    columns = [(F.col(f"`{c}`"), t) for c, t in docs.dtypes]
+    values = [F.to_json(F.struct(c)) if t.startswith(nested) else c for c, t in columns]
+    values = [x for v in values for x in (v, v.isNull())]  # a null alone would not change a hash
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "f1"), (2, "f2"))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, stash
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -20,18 +20,17 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with a link to another; the component is its smallest node. Self-links and repeated
-    links do not matter; no links give an empty table."""
+    links do not matter; no links give an empty table. Rounds go on until one changes nothing."""
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     pairs, before = stash(pairs, "links"), None
-    for _ in range(max_rounds):
+    while True:
         row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == before:
             break
         before = (row["n"], row["h"])
-        pairs = stash(_star(_star(pairs, True), False), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        old, pairs = pairs, stash(_star(_star(pairs, True), False), "links")
+        forget(old)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

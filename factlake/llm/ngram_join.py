@@ -2,10 +2,17 @@
 
 The Jaccard distance is a metric, and pivots divide the space. Texts that share nothing are at distance 1 from each other, so
 document pivots alone cannot part them; the first pivots are therefore single shingles, rarest first: a document's regions are
-those of its nearest pivots, as many as a partner within the radius may lack, and one more. Inside a region the most central
-document is the next pivot: its distances put documents into its cell (linked through it) or beyond, and by the triangle
-inequality only documents whose distances to the pivot differ by at most the radius can be linked. Regions that are not yet
-one component meet further pivots one by one (the region and its first pivot's distances stay), and at last are joined exactly. Pairs already in one component are left out. Whole sets decide every link.
+those of its nearest pivots, as many as a partner within the radius may lack, and one more. The most central document of a
+region is its document pivot, and regions with one document pivot are one cell: its members within the radius are linked through
+it and need no further comparison with each other.
+
+A cell whose members are not yet connected is joined recursively. Each member stands for its difference from the cell's pivot.
+Of two linked members of which one lies beyond the radius of the pivot, both deviate from it in common (the counts follow from
+the triangle inequality of set differences), so the cell falls into regions by single shingles of the differences, again rarest
+first. Each region has two document pivots: they create Voronoi cells, every member goes to the cell of the nearest one and, by
+the triangle inequality, to the other's as well if its distance there is at most two radii more. Cells shrink by their pivots at
+least, and once small they end in one task each, where every further pivot narrows the window of the next. Pairs already in one
+component are never formed. Whole sets, or whole differences, decide every link.
 """
 
 from __future__ import annotations
@@ -17,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stash, table
+from .common import fingerprint, forget, maybe_broadcast, stash, table
 from .components import components
 
 WORDS = 4
 PERCENT = 85
-#: Comparisons left in open regions, per region member, below which they are joined at once, and rounds of pivots before.
-WORK_PER_MEMBER, MAX_PIVOT_ROUNDS = 4, 8
+#: A cell of at most so many members and shingles of their differences is divided no further but joined in one task.
+LEAF_MEMBERS, LEAF_SHINGLES = 256, 1 << 18
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -50,34 +57,37 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shingle_table(docs: DataFrame, whole: bool, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest (of the set, 128 bits; null if empty) and hashes: the whole set, or its head by hash.
+def shingle_table(rows: DataFrame, whole: bool, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``rows`` with ``text`` replaced by n, digest (of the set, 128 bits; null if empty) and hashes: the whole set, or its head
+    by hash.
 
     Of a pair that shares k shingles, heads of n - k + m share m. A head holds one more than n - needed + m shingles with
     m = n - needed + 1, as a partner that is smaller by one may have the smaller m."""
+    carried = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
-            for at in range(0, len(ids), 500):
+            texts = b.column("text")
+            for at in range(0, len(texts), 500):
                 sets = [shingle_set(t, words) for t in texts.slice(at, 500).to_pylist()]
                 heads = sets if whole else [s[: 2 * (len(s) - _needed(len(s), percent)) + 2] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 flat = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, 500),
+                        *[b.column(c).slice(at, 500) for c in carried],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     ],
-                    ["doc_id", "n", "digest", "hashes"],
+                    [*carried, "n", "digest", "hashes"],
                 )
 
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n long, digest binary, hashes array<long>")
+    d = rows.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    schema = "".join(f"{c} {t}, " for c, t in rows.dtypes if c != "text")
+    return d.mapInArrow(run, f"{schema}n long, digest binary, hashes array<long>")
 
 
 def _needed_col(n: Column, percent: int) -> Column:
@@ -93,23 +103,6 @@ def _candidates(heads: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("hits") >= F.col("n") - _needed_col(F.col("n"), percent) + 1).select("doc_id", "digest", "n")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, p, distance, linked) of the distinct pairs (x, p), from their whole sets. Only the sets of nodes in pairs move."""
-    pairs = stash(pairs.select("x", "p").distinct(), "pairs")
-
-    def side(node: str, hashes: str) -> DataFrame:
-        found = sets.select(F.col("node").alias(node), F.col("hashes").alias(hashes))
-        few = maybe_broadcast(stash(pairs.select(node).distinct(), "ends"))
-        return found.join(few, node, "left_semi")
-
-    both = pairs.join(side("x", "hx"), "x").join(side("p", "hp"), "p")
-    common = F.size(F.array_intersect("hx", "hp"))
-    union = F.size("hx") + F.size("hp") - F.col("common")
-    return both.withColumn("common", common).select(
-        "x", "p", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= percent * union).alias("linked")
-    )
-
-
 def _labelled(rows: DataFrame, named: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component found so far of a node; a node without links is its own."""
     found = named.select(F.col("node").alias(node), F.col("component").alias(name))
@@ -127,103 +120,264 @@ def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
     return stash(old.unionByName(top.join(named.select("node"), "node", "left_anti")), "components")
 
 
-def _node_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the nodes that link with another. ``sets``: node, n, hashes.
+def _difference(a: str, b: str) -> Column:
+    """The shingles that one of two sets has."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * common >= percent * (n + m - common)
 
-    A pair whose nodes are already in one component is not compared, so most nodes of a large group are compared with one
-    pivot only; a distance that was not measured excludes nothing."""
+
+def _first_cells(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of document pivots over regions by single shingles: (components of the links to nearest pivots, further links,
+    members of the cells that are not one component yet). ``sets``: node, n, hashes."""
     tokens = sets.select("node", "n", F.explode("hashes").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
     lone = F.col("n") - F.size("by")
     window = F.col("n") - _needed_col(F.col("n"), percent) + 1 - lone
     near = shared.withColumn("lone", lone).withColumn("near", window).where("near > 0")
-    members = near.select("node", "n", "lone", F.explode(F.slice("by", F.lit(1), F.col("near").cast("int"))["h"]).alias("region"))
-    members = stash(members, "regions")  # a region of one has no partner for it
-    radius = 1 - percent / 100 + 1e-9
-    alike = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
-    within = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius, F.lit(True))
-
+    regions = near.select("node", "n", "lone", F.explode(F.slice("by", F.lit(1), F.col("near").cast("int"))["h"]).alias("region"))
+    regions = stash(regions, "regions")  # a region of one has no partner for it
     center = F.min(F.struct((F.col("lone") / F.col("n")).alias("lone"), "node", "n"))
-    pivots = members.groupBy("region").agg(center.alias("_p"), F.count("*").alias("m")).where("m > 1")
+    pivots = regions.groupBy("region").agg(center.alias("_p"), F.count("*").alias("m")).where("m > 1")
     pivots = pivots.select("region", F.col("_p.node").alias("p"), F.col("_p.n").alias("np"))
-    members = stash(members.join(pivots, "region"), "regions")
-    votes = members.where((F.col("node") != F.col("p")) & alike).groupBy(F.col("node").alias("x"), "p").agg(F.count("*").alias("votes"))
-    votes = stash(votes, "votes")
-    first = votes.groupBy("x").agg(F.max_by("p", F.struct("votes", (-F.col("p")).alias("_low"))).alias("p"))
-    measured = stash(_verified(first, sets, percent), "distances")
-    named = components(measured.where("linked").select("x", "p"), "x", "p")
-    rest = votes.select("x", "p").join(measured.select("x", "p"), ["x", "p"], "left_anti")
-    rest = _labelled(_labelled(rest, named, "x", "a"), named, "p", "b").where("a <> b")
-    more = stash(_verified(rest, sets, percent), "distances")
-    named = _merged(named, more.where("linked"))
-
-    known = measured.unionByName(more).select(F.col("x").alias("node"), "p", "distance")
-    members = members.join(known, ["node", "p"], "left")
-    d = F.when(F.col("node") == F.col("p"), F.lit(0.0)).otherwise(F.col("distance"))
-    members = stash(members.select("region", "node", "n", "lone", d.alias("d")), "regions")
-    for turn in range(MAX_PIVOT_ROUNDS):
-        labelled = _labelled(members, named, "node", "c")
-        sizes = labelled.groupBy("region", "c").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("region").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("m"), F.max("k").alias("top"))
-        opened = stash(labelled.join(main.where("m > top"), "region"), "open")
-        row = opened.agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") != F.col("main"), F.col("m")).otherwise(0)).alias("work")).first()
-        if not row["n"]:
-            return named
-        others = opened.where("c <> main")
-        last = row["work"] <= WORK_PER_MEMBER * max(row["n"], 10_000) or turn == MAX_PIVOT_ROUNDS - 1
-        if last:  # every member outside the main component with every member of another
-            ends = others.select("region", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("c").alias("cp"))
-            order = (F.col("c") == F.col("main")) | (F.col("node") < F.col("p"))
-        else:
-            center = F.min(F.struct((F.col("lone") / F.col("n")).alias("lone"), "node", "n", "d", "c"))
-            ends = others.groupBy("region").agg(center.alias("_p"))
-            ends = ends.select("region", F.col("_p.node").alias("p"), F.col("_p.n").alias("np"), F.col("_p.d").alias("dp"), F.col("_p.c").alias("cp"))
-            order = F.lit(True)
-        met = opened.join(ends, "region")
-        pairs = met.where(order & (F.col("c") != F.col("cp")) & alike & within).select(F.col("node").alias("x"), "p")
-        links = stash(_verified(pairs, sets, percent), "links").where("linked").select("x", "p")
-        named = _merged(named, links)
-        if last:
-            return named
-        members = stash(met.where("node <> p").select("region", "node", "n", "lone", "d"), "regions")  # the pivot is done
-    return named
+    met = regions.join(pivots, "region").where("node <> p").groupBy(F.col("node").alias("x"), "p")
+    met = stash(met.agg(F.count("*").alias("votes"), F.first("n").alias("n"), F.first("np").alias("np")), "met")
+    forget(regions)
 
+    alike = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
+    first = met.where(alike).groupBy("x").agg(F.max_by("p", F.struct("votes", (-F.col("p")).alias("_low"))).alias("p"))
+    links = stash(_measured(first, sets, percent).where("linked").select("x", "p"), "links")
+    named = stash(components(links, "x", "p"), "components")
+
+    labelled = _labelled(_labelled(met.select("x", "p"), named, "x", "label"), named, "p", "home")
+    opened = stash(labelled.where("label <> home").select("p").distinct(), "open")
+    rows = labelled.join(maybe_broadcast(opened), "p", "left_semi")
+    cells = stash(
+        _measured(rows, sets, percent).select(
+            F.array("p").alias("cell"), F.col("np").alias("pn"), "home", F.col("x").alias("node"), "n", "c",
+            F.when(F.col("linked"), F.col("home")).otherwise(F.col("label")).alias("label"), "delta", "linked", F.col("label").alias("_was"),
+        ),
+        "cells",
+    )
+    more = cells.where("linked AND _was <> home").select(F.col("node").alias("x"), F.element_at("cell", -1).alias("p"))
+    forget(links, opened)
+    return named, more, cells.drop("linked", "_was")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (x, p) with the sizes n and np, the common shingles c, the difference of the sets and whether they are linked.
+    Only the sets of nodes in pairs move."""
+    pairs = stash(pairs, "pairs")
+    few = maybe_broadcast(stash(pairs.select("x").distinct(), "ends"))
+    x = sets.select(F.col("node").alias("x"), "n", F.col("hashes").alias("hx")).join(few, "x", "left_semi")
+    few = maybe_broadcast(stash(pairs.select("p").distinct(), "ends"))
+    p = sets.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("hashes").alias("hp")).join(few, "p", "left_semi")
+    both = pairs.join(x, "x").join(p, "p").withColumn("delta", _difference("hx", "hp")).drop("hx", "hp")
+    both = both.withColumn("c", F.expr("(n + np - size(delta)) div 2"))
+    return both.withColumn("linked", _linked(F.col("c"), F.col("n"), F.col("np"), percent))
+
+
+def _divided(cells: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links through the new pivots, members of the new cells) of cells that are too large for one task.
+
+    ``cells``: the path of pivots ``cell``, the last pivot's size ``pn`` and label ``home``, and of each member: node, n, common
+    shingles ``c`` with that pivot, label (members with one label are connected) and its difference ``delta`` from it.
+
+    Two sets x and y with k shingles in common share pn - c_x - c_y + k of their differences. A link needs k of at least
+    percent (n_x + n_y) / (100 + percent), and of at least percent n / 100 of either; so bounds of what its partners have give the
+    number ``o`` of a member, never less than 1, as members within the radius of the pivot bear one label. Members whose heads
+    (all but o - 1 of the difference, rarest first) share no shingle with one of another label have no link."""
+    is_main = F.col("label") == F.col("home")
+    share = percent / (100 + percent)
+    slack = F.col("pn") / 2 - F.col("c") + share * F.col("n")
+    bounds = cells.groupBy("cell").agg(
+        F.min(F.when(is_main, slack)).alias("f_main"), F.min(F.when(~is_main, slack)).alias("f_other"),
+        F.max(F.when(is_main, F.col("c"))).alias("c_main"), F.max(F.when(~is_main, F.col("c"))).alias("c_other"),
+    )
+    tokens = cells.select("cell", "node", "label", F.explode("delta").alias("h"))
+    held = tokens.groupBy("cell", "h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    held = held.where("lo <> hi").select("cell", "h", "df")  # what one label holds alone is never shared by a new pair
+    by = tokens.join(held, ["cell", "h"]).groupBy("cell", "node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
+    rows = cells.withColumn("size", F.size("delta")).drop("delta").join(by, ["cell", "node"]).join(bounds, "cell")
+    f_partner = F.when(is_main, F.col("f_other")).otherwise(F.least("f_main", "f_other"))
+    c_partner = F.when(is_main, F.col("c_other")).otherwise(F.greatest("c_main", "c_other"))
+    o = F.greatest(
+        F.lit(1).cast("long"), F.ceil(slack + f_partner - 1e-6), F.col("pn") - F.col("c") - c_partner + _needed_col(F.col("n"), percent)
+    )
+    lone = F.col("size") - F.size("by")
+    rows = rows.withColumn("lone", lone / F.col("size")).withColumn("take", (F.col("size") - o + 1 - lone).cast("int")).where("take > 0")
+    regions = rows.select("cell", "node", "label", is_main.alias("main"), "lone", F.explode(F.slice("by", F.lit(1), F.col("take"))["h"]).alias("h"))
+    regions = stash(regions, "regions")
+    pivots = regions.groupBy("cell", "h").agg(
+        F.min(F.struct("main", "lone", "node"))["node"].alias("q1"), F.min(F.struct("main", F.xxhash64("node"), "node"))["node"].alias("q2"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+    ).where("lo <> hi")
+    both = F.explode(F.array_distinct(F.array("q1", "q2"))).alias("q")
+    met = regions.join(pivots.drop("lo", "hi"), ["cell", "h"]).select("cell", "h", "node", both).where("node <> q")
+    met = stash(met, "met")
+
+    pairs = met.select("cell", "node", "q").distinct()
+    pivot = cells.select("cell", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), F.col("delta").alias("dq"))
+    both = pairs.join(cells.select("cell", "node", "n", "label", F.col("delta").alias("dx")), ["cell", "node"]).join(pivot, ["cell", "q"])
+    both = both.withColumn("delta", _difference("dx", "dq")).drop("dx", "dq").withColumn("c", F.expr("(n + nq - size(delta)) div 2"))
+    measured = stash(both.withColumn("linked", _linked(F.col("c"), F.col("n"), F.col("nq"), percent)), "distances")
+    links = measured.where("linked AND label <> lq").select(F.col("node").alias("x"), F.col("q").alias("p"))
+
+    window = 2 * (1 - percent / 100) + 1e-9
+    distance = 1 - F.col("c") / (F.col("n") + F.col("nq") - F.col("c"))
+    to_pivots = met.join(measured.select("cell", "node", "q", distance.alias("d")), ["cell", "node", "q"])
+    to_pivots = to_pivots.groupBy("cell", "h", "node").agg(F.collect_list(F.struct("d", "q")).alias("to"))  # one or two
+    inside = F.filter("to", lambda t: t["d"] <= F.array_min("to")["d"] + window)
+    kept = to_pivots.select("cell", "node", F.explode(inside["q"]).alias("q")).distinct()
+    new = kept.join(measured, ["cell", "node", "q"]).select(
+        F.concat("cell", F.array("q")).alias("cell"), F.col("nq").alias("pn"), F.col("lq").alias("home"), "node", "n", "c",
+        F.when(F.col("linked"), F.col("lq")).otherwise(F.col("label")).alias("label"), "delta",
+    )
+    links, new = stash(links, "links"), stash(new, "cells")
+    forget(regions, met, measured)
+    return links, new
+
+
+def small_cell_links(pn: int, node, n, c, label, sizes, flat, percent: int) -> list[tuple[int, int]]:
+    """Links (x, p) that connect all linked members of one cell: arrays of the members' columns as in ``_divided``, their
+    differences one after the other in ``flat``.
+
+    Members not of the main label are pivots in turn. A pivot meets the members that can share enough with it and whose
+    distances to the pivots before differ from its own by at most the radius."""
+    if not len(flat):
+        return []
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    shingles, token = np.unique(flat, return_inverse=True)
+    _, root = np.unique(label, return_inverse=True)
+    owner = np.repeat(root, sizes)
+    low, high = np.full(len(shingles), len(node)), np.full(len(shingles), -1)
+    np.minimum.at(low, token, owner)
+    np.maximum.at(high, token, owner)
+    useful = np.add.reduceat((low != high)[token].astype(np.int64), starts[:-1])  # others share no more of a difference
+    main = np.bincount(root).argmax()
+    found, seen, mark = [], [], np.zeros(len(shingles), np.int64)
+    for q in np.flatnonzero(root != main):
+        need = -(-percent * (n + n[q]) // (100 + percent))
+        able = (root != root[q]) & (np.minimum(useful, useful[q]) >= pn - c - c[q] + need)
+        for d in seen:
+            able &= np.abs(d - d[q]) <= 1 - percent / 100 + 1e-9
+        if not able.any():
+            continue
+        own = token[starts[q] : starts[q + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[token], starts[:-1])
+        mark[own] = 0
+        common = (n + n[q] - (sizes + sizes[q] - 2 * both)) // 2
+        seen.append(1 - common / (n + n[q] - common))
+        for x in np.flatnonzero(able & (100 * common >= percent * (n + n[q] - common))):
+            if root[x] != root[q]:
+                found.append((int(node[x]), int(node[q])))
+                root[root == root[x]] = root[q]
+    return found
+
+
+def _small_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (x, p) of whole small cells, each gathered in one row."""
 
-def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable by links, itself included.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
 
-    Two documents link when ``percent`` of their shingles' union is common. Rows with equal sets are one node, so copies are
-    compared once. Null and blank texts have no shingles and link with nothing. Repeated rows fall in one component; a null
-    doc_id is no component's name unless all of it have none. Shingles are told apart by 64-bit hashes. Other columns are
-    not read."""
-    heads = stash(shingle_table(docs, False, words, percent).withColumn("row", F.monotonically_increasing_id()), "heads")
+        for b in batches:
+            found = []
+            for pn, cell in zip(b.column("pn").to_pylist(), b.column("members")):
+                node, n, c, label, delta = cell.values.flatten()
+                sizes = pc.list_value_length(delta).to_numpy().astype(np.int64)
+                values = [x.to_numpy().astype(np.int64) for x in (node, n, c, label)]
+                found += small_cell_links(pn, *values, sizes, delta.flatten().to_numpy(), percent)
+            x, p = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(p, pa.int64())], ["x", "p"])
+
+    members = F.collect_list(F.struct("node", "n", "c", "label", "delta")).alias("members")
+    return cells.groupBy("cell").agg(F.first("pn").alias("pn"), members).select("pn", "members").mapInArrow(run, "x long, p long")
+
+
+def _node_components(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the nodes that link with another. ``sets``: node, n, hashes."""
+    named, more, cells = _first_cells(sets, percent)
+    links = [more]
+    while True:
+        sizes = cells.groupBy("cell").agg(
+            F.count("*").alias("members"), F.sum(F.size("delta")).alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        small = (F.col("members") <= LEAF_MEMBERS) & (F.col("shingles") <= LEAF_SHINGLES)
+        opened = stash(sizes.where("lo <> hi").select("cell", small.alias("small")), "sizes")
+        some = cells.join(maybe_broadcast(opened.where("small")), "cell", "left_semi")
+        links.append(stash(_small_cells(some, percent), "links"))
+        large = opened.where("NOT small")
+        if large.isEmpty():
+            break
+        found, cells = _divided(stash(cells.join(maybe_broadcast(large), "cell", "left_semi"), "cells"), percent)
+        links.append(found)
+    every = links[0]
+    for some in links[1:]:
+        every = every.unionByName(some)
+    return _merged(named, every)
+
+
+def _named_sets(docs: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
+    """(digest, component) of the sets that may have a partner; ``heads`` has the rows of ``docs`` with doc_id, n, digest, hashes
+    and row."""
     some = _candidates(heads, percent)
-    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"))
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ids = nodes.select(F.col("label").alias("_id"))
     chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = shingle_table(chosen, True, words, percent).select("digest", "hashes").dropDuplicates(["digest"])
+    sets = shingle_table(chosen.select("text"), True, words, percent).select("digest", "hashes").dropDuplicates(["digest"])
     sets = stash(sets.join(nodes.select("digest", "node", "n"), "digest").select("node", "n", "hashes"), "sets")
     found = _node_components(sets, percent)
-    named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    lowest = named.groupBy("c").agg(F.min("label").alias("lowest"))
-    named = maybe_broadcast(stash(named.join(lowest, "c").select("digest", "lowest"), "named"))
+    named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    named = stash(named, "named")
+    forget(sets, nodes)
+    return named
+
+
+def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable by links, itself included.
+
+    Two documents link when ``percent`` of their shingles' union is common. Rows with equal sets are one node, so copies are
+    compared once. Null and blank texts have no shingles and link with nothing. Repeated rows fall in one component; a null
+    doc_id is no component's name unless all of it have none. An empty table gives an empty result. Very long texts are taken
+    whole. Shingles are told apart by 64-bit hashes. Other columns are not read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    heads = stash(shingle_table(rows, False, words, percent).withColumn("row", F.monotonically_increasing_id()), "heads")
+    named = _named_sets(rows, heads, words, percent)
+    labels = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("label"))
+    lowest = named.join(labels, "digest").groupBy("component").agg(F.min("label").alias("lowest"))
+    named = maybe_broadcast(stash(named.join(lowest, "component").select("digest", "lowest"), "named"))
     out = heads.select("doc_id", "n", "digest").join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id; all columns. Rows without words stay. Of
-    repeated rows with that doc_id and one text one stays."""
-    found = jaccard_components(docs, words=words, percent=percent)
-    gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
-    kept = rows.join(maybe_broadcast(gone), F.col("_id") == F.col("_gone"), "left_anti")
-    repeated = stash(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "twice")
-    if not repeated.isEmpty():
-        side, twice = maybe_broadcast(repeated), F.col("_id").eqNullSafe(F.col("_twice"))
-        kept = kept.join(side, twice, "left_anti").unionByName(kept.join(side, twice, "left_semi").dropDuplicates(["_id", "_text"]))
+    """``docs`` with one row of each component, all columns: the one with the smallest doc_id (null last), of those with equal ids
+    the one with the smallest fingerprint of all columns, of rows equal in all columns any one.
+
+    Rows are told apart by doc_id and fingerprint, so an unrelated row that repeats an id stays and a copy without id goes.
+    Rows without words stay. An empty table stays empty."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *fingerprint(docs))
+    heads = stash(shingle_table(marked, False, words, percent).withColumn("row", F.monotonically_increasing_id()), "heads")
+    named = _named_sets(marked, heads, words, percent)
+    grouped = heads.where("n > 0").select("doc_id", "f1", "f2", "digest").join(maybe_broadcast(named), "digest")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1", "f2")
+    keepers = grouped.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
+    told = stash(grouped.join(keepers, "component").select("doc_id", "f1", "f2", (place == F.col("keeper")).alias("keeps")), "told")
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")]
+    gone = stash(told.where("NOT keeps").select(*keys).distinct(), "gone")
+    twice = stash(told.where("keeps").groupBy(*keys).count().where("count > 1").drop("count"), "twice")
+    f1, f2 = fingerprint(docs)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_i"), f1.alias("_f1"), f2.alias("_f2"))
+    kept = rows.join(maybe_broadcast(gone), ["_i", "_f1", "_f2"], "left_anti")
+    if not twice.isEmpty():
+        side, names = maybe_broadcast(twice), ["_i", "_f1", "_f2"]
+        kept = kept.join(side, names, "left_anti").unionByName(kept.join(side, names, "left_semi").dropDuplicates(names))
     return kept.select("_row.*")
 
 

@@ -166,8 +166,8 @@ def near_texts(seed, families=12, copies=12, rate=0.03):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_near_copies_against_all_pairs(spark, seed, monkeypatch):
-    if seed == 3:  # several rounds of pivots
-        monkeypatch.setattr(ngram_join, "WORK_PER_MEMBER", 0)
+    if seed > 1:  # cells are divided until one member is left
+        monkeypatch.setattr(ngram_join, "LEAF_MEMBERS", seed - 2)
     texts = [*near_texts(seed), *AWKWARD]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
