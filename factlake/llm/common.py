@@ -47,3 +47,21 @@ def fingerprint(docs: DataFrame) -> list[Column]:
     values = [F.to_json(F.struct(c)) if t.startswith(nested) else c for c, t in columns]
     values = [x for v in values for x in (v, v.isNull())]  # a null alone would not change a hash
     return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "f1"), (2, "f2"))]
+
+
+def keep_told(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``told`` (doc_id, f1, f2, keeps) does not keep. Rows are told apart by doc_id and
+    fingerprint; of rows equal in all columns that are to be kept one stays."""
+    told = stash(told, "told")
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")]
+    names = ["_i", "_f1", "_f2"]
+    gone = stash(told.where("NOT keeps").select(*keys).distinct(), "gone")
+    twice = stash(told.where("keeps").groupBy(*keys).count().where("count > 1").drop("count"), "twice")
+    f1, f2 = fingerprint(docs)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_i"), f1.alias("_f1"), f2.alias("_f2"))
+    kept = rows.join(maybe_broadcast(gone), names, "left_anti")
+    if not twice.isEmpty():
+        side = maybe_broadcast(twice)
+        kept = kept.join(side, names, "left_anti").unionByName(kept.join(side, names, "left_semi").dropDuplicates(names))
+    forget(told)
+    return kept.select("_row.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, without_blanks
+from .common import fingerprint, keep_told, maybe_broadcast, stash, table, without_blanks
 
 
 def content_hash(normalised: Column) -> Column:
@@ -47,17 +47,27 @@ def dedup_groups(docs: DataFrame, *, hash_of=content_hash) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns. Repeated rows with one doc_id and text stay once."""
-    verdict = dedup_groups(docs)
-    keepers = verdict.where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(without_blanks(F.col("text")), 256).alias("_sha"))
-    cond = F.col("_id").eqNullSafe(keepers["doc_id"]) & (F.col("_sha") == keepers["text_sha256"])
-    kept = keyed.join(keepers, cond, "left_semi")
-    repeated = verdict.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["_id", "_sha"])
-    return kept.select("_row.*")
+def drop_copies(docs: DataFrame, *, hash_of=content_hash) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns: the one with the most code points, of those the one with
+    the smallest doc_id (null last), then the smallest fingerprint of all columns; of rows equal in all columns any one. A null
+    text counts as empty, and all empty texts are one group. An empty table stays empty.
+
+    Groups form and are proved as in ``dedup_groups``. Rows are told apart by doc_id and fingerprint, so that rows which share
+    an id but not a text do not meet; only ids, hashes and the two extreme texts of a group move, no whole rows."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *fingerprint(docs))
+    d = d.select("doc_id", "f1", "f2", without_blanks(F.col("_text")).alias("_norm"), F.char_length("_text").alias("_n"))
+    d = d.withColumn("_h", hash_of(F.col("_norm")))
+    place = F.struct((-F.col("_n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1", "f2")
+    proof = (F.min("_norm") != F.max("_norm")).alias("mixed")
+    groups = stash(d.groupBy("_h").agg(F.count("*").alias("rows"), F.min(place).alias("keeper"), proof).where("rows > 1"), "groups")
+    keeps = ["doc_id", "f1", "f2", (F.col("place") == F.col("keeper")).alias("keeps")]
+    told = d.select("_h", "doc_id", "f1", "f2", place.alias("place")).join(maybe_broadcast(groups.where("NOT mixed").select("_h", "keeper")), "_h").select(*keeps)
+    mixed = groups.where("mixed").select("_h")
+    if not mixed.isEmpty():  # a collision: those rows by their whole text
+        among = d.join(mixed, "_h", "left_semi")
+        exact = among.groupBy("_norm").agg(F.min(place).alias("keeper"))
+        told = told.unionByName(among.withColumn("place", place).join(exact, "_norm").select(*keeps))
+    return keep_told(docs, told)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fingerprint, forget, maybe_broadcast, stash, table
+from .common import fingerprint, forget, keep_told, maybe_broadcast, stash, table
 from .components import components
 
 WORDS = 4
@@ -368,17 +368,7 @@ def drop_near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERC
     grouped = heads.where("n > 0").select("doc_id", "f1", "f2", "digest").join(maybe_broadcast(named), "digest")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1", "f2")
     keepers = grouped.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
-    told = stash(grouped.join(keepers, "component").select("doc_id", "f1", "f2", (place == F.col("keeper")).alias("keeps")), "told")
-    keys = [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")]
-    gone = stash(told.where("NOT keeps").select(*keys).distinct(), "gone")
-    twice = stash(told.where("keeps").groupBy(*keys).count().where("count > 1").drop("count"), "twice")
-    f1, f2 = fingerprint(docs)
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_i"), f1.alias("_f1"), f2.alias("_f2"))
-    kept = rows.join(maybe_broadcast(gone), ["_i", "_f1", "_f2"], "left_anti")
-    if not twice.isEmpty():
-        side, names = maybe_broadcast(twice), ["_i", "_f1", "_f2"]
-        kept = kept.join(side, names, "left_anti").unionByName(kept.join(side, names, "left_semi").dropDuplicates(names))
-    return kept.select("_row.*")
+    return keep_told(docs, grouped.join(keepers, "component").select("doc_id", "f1", "f2", (place == F.col("keeper")).alias("keeps")))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
