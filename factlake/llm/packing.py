@@ -1,5 +1,5 @@
-"""Best-fit packing by exact complements: combinations of lengths that fill a sequence exactly are consumed under the counts
-that are left; what no combination fills goes best-fit.
+"""Best-fit packing by exact complements: an index from sums to single lengths, pairs and triples gives the combinations that
+fill the gap of a sequence exactly, which are consumed under the counts that are left; what no combination fills goes best-fit.
 
 The plan depends only on how many pieces there are of each length (at most ``capacity`` numbers); pieces then find their
 sequence from their rank among those of their length, in parallel.
@@ -22,14 +22,14 @@ from .tokens import in_slices, memo, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces ranked together by one task.
-BUCKET_ROWS = 4096
+#: Pieces ranked together; the counts of lengths by bucket are at most ``capacity`` rows for so many pieces.
+BUCKET_ROWS = 1 << 16
 
 
 def cut_documents(docs: DataFrame, *, vocabulary_path: str, keeps_blanks: bool, end_id: int = END_ID, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every row. A text (null: empty) is its ids and ``end_id``;
-    only one longer than ``capacity`` is cut, into pieces of that length of which the first may be shorter. ``added``: as for
-    WordMemo."""
+    only one longer than ``capacity`` is cut, into pieces of that length of which the first may be shorter. Repeated rows and
+    rows without doc_id are cut each. ``added``: as for WordMemo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = memo(vocabulary_path, keeps_blanks, added)
@@ -56,27 +56,36 @@ def cut_documents(docs: DataFrame, *, vocabulary_path: str, keeps_blanks: bool,
 
 
 class _Stock:
-    """Counts of lengths, and which are left as bits, so that a pair with a given sum is found in one step."""
-
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity, self.counts = capacity, Counter(counts)
-        self.bits = sum(1 << n for n, c in counts.items() if c)
-        self.mirror = sum(1 << (capacity - n) for n, c in counts.items() if c)
-
-    def add(self, length: int, count: int) -> None:
-        self.counts[length] += count
-        for name, at in (("bits", length), ("mirror", self.capacity - length)):
-            bit = 1 << at
-            setattr(self, name, getattr(self, name) | bit if self.counts[length] else getattr(self, name) & ~bit)
-
-    def pair(self, total: int) -> list[int]:
-        """Two lengths left that sum to ``total``, the larger as large as can be."""
-        both = self.bits & (self.mirror >> (self.capacity - total)) & ((1 << total) - 2)
-        while both:
-            n = both.bit_length() - 1
-            if 2 * n != total or self.counts[n] > 1:
-                return [n, total - n]
-            both &= ~(1 << n)
+    """Counts of the lengths left, with an index by hash from a sum to the combinations of one, two or three lengths that make it.
+
+    An entry of the index is built when its sum is first asked for: for pairs the larger lengths, for triples the largest, in
+    ascending order. Counts only fall, so a combination that can be taken no more never comes back and leaves its entry: over a
+    whole plan each is looked at a bounded number of times."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts, self.lengths = Counter(counts), sorted(n for n, c in counts.items() if c)
+        self.bits = sum(1 << n for n in self.lengths)
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def take(self, length: int, count: int) -> None:
+        self.counts[length] -= count
+        if not self.counts[length]:
+            self.bits &= ~(1 << length)
+
+    def pair(self, total: int, held: int = 0) -> list[int]:
+        """Two lengths that sum to ``total``, the larger as large as can be; one piece of the length ``held`` is spoken for."""
+        if total not in self.pairs:
+            self.pairs[total] = [n for n in self.lengths if n < total <= 2 * n and self.counts[total - n]]
+        entry, at = self.pairs[total], len(self.pairs[total]) - 1
+        while at >= 0:
+            n, m = entry[at], total - entry[at]
+            left = lambda x: self.counts[x] - (x == held)
+            if left(n) > (n == m) and left(m) > 0:
+                return [n, m]
+            if at == len(entry) - 1 and not (self.counts[n] > (n == m) and self.counts[m] > 0):
+                entry.pop()
+            at -= 1
         return []
 
     def fill(self, gap: int) -> list[int]:
@@ -85,15 +94,14 @@ class _Stock:
             return [gap]
         if two := self.pair(gap):
             return two
-        below = self.bits & ((1 << max(gap - 1, 0)) - 1) & ~1
-        while below:
-            n = below.bit_length() - 1
-            self.add(n, -1)
-            two = self.pair(gap - n)
-            self.add(n, 1)
-            if two:
+        if gap not in self.triples:
+            self.triples[gap] = [n for n in self.lengths if n < gap - 1]
+        entry = self.triples[gap]
+        while entry:
+            n = entry[-1]
+            if self.counts[n] and (two := self.pair(gap - n, held=n)):
                 return [n, *two]
-            below &= ~(1 << n)
+            entry.pop()
         return []
 
     def best(self, gap: int) -> int:
@@ -104,30 +112,31 @@ class _Stock:
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(how often, lengths) of the sequences that hold all pieces. Each round starts from the longest length left, fills its
     gap exactly or best-fit, and repeats that sequence as often as the counts allow, which uses up one length at least."""
-    stock, out = _Stock(counts, capacity), []
+    stock, out = _Stock(counts), []
     for longest in sorted(counts, reverse=True):
         while stock.counts[longest]:
             took, gap = [longest], capacity - longest
-            stock.add(longest, -1)
+            stock.take(longest, 1)
             while gap:
                 more = stock.fill(gap) or [n for n in [stock.best(gap)] if n]
                 if not more:
                     break
                 for n in more:
-                    stock.add(n, -1)
+                    stock.take(n, 1)
                 took += more
                 gap -= sum(more)
             need = Counter(took)
             times = 1 + min(stock.counts[n] // k for n, k in need.items())
             for n, k in need.items():
-                stock.add(n, -k * (times - 1))
+                stock.take(n, k * (times - 1))
             out.append((times, took))
     return out
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a stashed table with doc_id, piece and length) with sequence_id and offset. Equal pieces are
-    interchangeable; an empty table gives an empty result.
+    """``pieces`` (a stashed table with doc_id, piece and length) with sequence_id and offset. Pieces of one length are
+    interchangeable, so ties and repeated rows fall in any order and each gets a place of its own; an empty table gives an empty
+    result.
 
     Pieces are ranked among those of their length in buckets of about BUCKET_ROWS by hash, over the counts of the buckets
     before, so a length with a third of all pieces spreads over many tasks."""
