@@ -2,7 +2,8 @@
 
 A shard is three files: ``.bin`` (all ids in document order; unsigned 16-bit little-endian where the vocabulary fits, else
 32-bit), ``.idx`` (unsigned 64-bit: the first id of each document in the shard, and the end) and ``.doc`` (signed 64-bit
-doc_ids; a null doc_id is -2**63). The manifest names the shards and gives each its base: the ids in all shards before it.
+doc_ids). Documents without doc_id come first in a shard; the manifest says how many, names the shards and gives each its base:
+the ids in all shards before it.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from .common import new_folder, stash, table
 from .tokens import in_slices, memo, vocabulary
 
-NULL_ID = -(2**63)
 END_ID = 1
-MANIFEST = "shard long, path string, width int, n_docs long, n_tokens long"
+MANIFEST = "shard long, path string, width int, n_docs long, n_null long, n_tokens long"
+#: Documents of a shard that one task reads back at a time.
+RANGE_DOCS = 10_000
 
 
 def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_blanks: bool, end_id: int, width: int, added: bool = False) -> DataFrame:
@@ -29,8 +31,8 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
     in ``folder``, a place that all executors share; returns the manifest with bases.
 
     Rows are dealt to shards by ranges of doc_id; repeated rows stand side by side. An attempt writes files of its own name
-    and the manifest holds only the attempts that ended well, so lost executors leave no wrong rows. ``added``: as for
-    WordMemo."""
+    and the manifest holds only the attempts that ended well, so lost executors leave no wrong rows. An id that ``width`` bytes
+    can't hold is an error. An empty table writes no shard. ``added``: as for WordMemo."""
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +44,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
         path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}"
         encoder = memo(vocabulary_path, keeps_blanks, added)
         end = np.array([end_id], "<u4").tobytes()
-        n_docs = total = 0
+        n_docs = n_null = total = 0
         out = {}
         try:
             for b in batches:
@@ -55,9 +57,13 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
                     sizes = np.fromiter((len(x) // 4 for x in coded), "<u8", len(coded))
                     starts = total + np.concatenate([np.zeros(1, "<u8"), np.cumsum(sizes)[:-1]]).astype("<u8")
                     flat = np.frombuffer(b"".join(coded), "<u4")
+                    if len(flat) and int(flat.max()) >> (8 * width):
+                        raise ValueError(f"id {flat.max()} does not fit {width} bytes")
                     out["bin"].write(flat.astype(kind).tobytes())
                     out["idx"].write(starts.astype("<u8").tobytes())
-                    out["doc"].write(np.array([NULL_ID if x is None else x for x in ids.slice(at, len(texts)).to_pylist()], "<i8").tobytes())
+                    some = ids.slice(at, len(texts))
+                    n_null += some.null_count
+                    out["doc"].write(some.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     n_docs, total = n_docs + len(coded), total + int(sizes.sum())
             if out:
                 out["idx"].write(np.array([total], "<u8").tobytes())
@@ -66,7 +72,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
                 f.close()
         if n_docs:
             yield pa.RecordBatch.from_pydict(
-                {"shard": [shard], "path": [path], "width": pa.array([width], pa.int32()), "n_docs": [n_docs], "n_tokens": [total]}
+                {"shard": [shard], "path": [path], "width": pa.array([width], pa.int32()), "n_docs": [n_docs], "n_null": [n_null], "n_tokens": [total]}
             )
 
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -78,7 +84,8 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (over all shards), n_tokens and ids_crc32 (of the ids as unsigned 32-bit little-endian) of each document
-    in the shards, read through memory maps where the folder is local and by ranges where not."""
+    in the shards. Tasks read ranges of documents of a shard, through memory maps where the folder is local and by byte ranges
+    where not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -86,27 +93,35 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         where, _ = fs.FileSystem.from_uri(folder)
         local = isinstance(where, fs.LocalFileSystem)
 
-        def mapped(path: str, kind: str):
-            return np.memmap(path, kind, "r") if local else np.frombuffer(where.open_input_file(path).read(), kind)
+        def part(path: str, kind: str, first: int, count: int) -> np.ndarray:
+            size = np.dtype(kind).itemsize
+            if local:
+                return np.memmap(path, kind, "r", first * size, count) if count else np.empty(0, kind)
+            with where.open_input_file(path) as f:
+                f.seek(first * size)
+                return np.frombuffer(f.read(count * size), kind)
 
         for b in batches:
             for row in b.to_pylist():
-                ids = mapped(f"{row['path']}.bin", {2: "<u2", 4: "<u4"}[row["width"]])
-                starts, docs = mapped(f"{row['path']}.idx", "<u8"), mapped(f"{row['path']}.doc", "<i8")
-                for at in range(0, len(docs), 10_000):
-                    some = [NULL_ID if x is None else x for x in docs[at : at + 10_000].tolist()]
-                    edges = starts[at : at + len(some) + 1].tolist()
-                    crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(edges, edges[1:])]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": pa.array([None if x == NULL_ID else x for x in some], pa.int64()),
-                            "start": [row["base"] + a for a in edges[:-1]],
-                            "n_tokens": [z - a for a, z in zip(edges, edges[1:])],
-                            "ids_crc32": pa.array(crc, pa.int64()),
-                        }
-                    )
-
-    each = manifest.repartition(F.col("shard"))
+                first = row["first"]
+                count = min(RANGE_DOCS, row["n_docs"] - first)
+                edges = part(f"{row['path']}.idx", "<u8", first, count + 1).astype(np.int64)
+                ids = part(f"{row['path']}.bin", {2: "<u2", 4: "<u4"}[row["width"]], int(edges[0]), int(edges[-1] - edges[0]))
+                inside = (edges - edges[0]).tolist()
+                crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(inside, inside[1:])]
+                docs = part(f"{row['path']}.doc", "<i8", first, count)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(np.asarray(docs), pa.int64(), mask=np.arange(first, first + count) < row["n_null"]),
+                        "start": pa.array(row["base"] + edges[:-1], pa.int64()),
+                        "n_tokens": pa.array(np.diff(edges), pa.int64()),
+                        "ids_crc32": pa.array(crc, pa.int64()),
+                    }
+                )
+
+    ranges = manifest.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(RANGE_DOCS).cast("long"))))
+    tasks = max(1, ranges.count())  # a number given is kept as it is, however small the rows are
+    each = ranges.repartition(tasks, "shard", "first")
     return each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
