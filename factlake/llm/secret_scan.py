@@ -23,10 +23,10 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 #: Candidates of the entropy scan, the window, and the least entropy (bits) of some window for each character class: only
-#: hexadecimal digits, or letters of both cases with digits.
+#: hexadecimal digits, letters of both cases with digits, or letters of one case with digits (base 32 and 36).
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SPAN = 20
-LEAST_BITS = {"hex": 3.05, "mixed": 3.75}
+LEAST_BITS = {"hex": 3.05, "mixed": 3.75, "one case": 3.75}
 #: Candidates that are well-known placeholders, identifiers or runs.
 ALLOWED = (
     r"(?i)(example|sample|dummy|placeholder|changeme|lorem|x{6}|0{8}|1234567890|abcdefgh"
@@ -37,36 +37,42 @@ ALLOWED = (
 def most_entropy(value: Column) -> Column:
     """The highest Shannon entropy of any window of SPAN characters (of the whole value if shorter).
 
-    With S the sum of n*log2(n) over the window's character counts, the entropy is log2(SPAN) - S / SPAN. Moving the window
-    by one takes one off the count of the character that leaves and adds one to that of the character that enters; only
-    those two terms of S change."""
+    With S the sum of n*log2(n) over the window's character counts, the entropy is log2(SPAN) - S / SPAN. The counts of the
+    value's different characters are carried from window to window: moving by one takes one off the count of the character that
+    leaves and adds one to that of the character that enters, and only those two terms of S change."""
     g = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(SPAN + 2)])
-    count = lambda chars, at, n, c: F.size(F.filter(F.slice(chars, at, n), lambda x: x == c))
 
-    def scan(chars: Column) -> Column:
+    def scan(codes: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
-            enters, leaves = F.get(chars, i), F.get(chars, i - SPAN)
-            full = i >= SPAN
-            has = F.when(full, count(chars, i - SPAN + 1, SPAN, leaves)).otherwise(F.lit(1))
-            less = F.when(full, F.get(g, has - 1) - F.get(g, has)).otherwise(F.lit(0.0))
-            start = F.greatest(i - SPAN + 2, F.lit(1))
-            had = count(chars, start, i + 1 - start, enters)
-            s = a["s"] + less + F.get(g, had + 1) - F.get(g, had)
+            enters, full = F.get(codes, i), i >= SPAN
+            leaves = F.when(full, F.get(codes, i - SPAN)).otherwise(F.lit(-1))
+            same = enters == leaves
+            has, had = F.get(a["counts"], leaves), F.get(a["counts"], enters)
+            moved = F.get(g, had + 1) - F.get(g, had) + F.when(full, F.get(g, has - 1) - F.get(g, has)).otherwise(F.lit(0.0))
+            s = a["s"] + F.when(same, F.lit(0.0)).otherwise(moved)
+            one = lambda yes: F.when(yes, F.lit(1)).otherwise(F.lit(0))
+            counts = F.transform(a["counts"], lambda n, k: n + one(k == enters) - one(k == leaves))
             n = F.least(i + 1, F.lit(SPAN))
-            bits = F.when(i + 1 >= F.least(F.lit(SPAN), F.size(chars)), F.log2(n.cast("double")) - s / n).otherwise(F.lit(0.0))
-            return F.struct(s.cast("double").alias("s"), F.greatest(a["best"], bits).cast("double").alias("best"))
+            bits = F.when(i + 1 >= F.least(F.lit(SPAN), F.size(codes)), F.log2(n.cast("double")) - s / n).otherwise(F.lit(0.0))
+            return F.struct(s.cast("double").alias("s"), F.greatest(a["best"], bits).cast("double").alias("best"), counts.alias("counts"))
 
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda a: a["best"])
+        none = F.array_repeat(F.lit(0), F.array_max(codes) + 1)
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), none.alias("counts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda a: a["best"])
 
-    return let(F.split(value, ""), scan)
+    def coded(chars: Column) -> Column:  # each character as its place among the different ones
+        place = lambda different: F.transform(chars, lambda c: (F.array_position(different, c) - 1).cast("int"))
+        return let(let(F.array_distinct(chars), place), scan)
+
+    return let(F.split(value, ""), coded)
 
 
 def is_secret(value: Column) -> Column:
     """Whether a candidate string has enough entropy for its character class and is not on the allow-list."""
     is_hex = value.rlike(r"^[0-9a-fA-F]+$") & value.rlike("[0-9]") & value.rlike("[a-fA-F]")
     mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
-    least = F.when(is_hex, LEAST_BITS["hex"]).when(mixed, LEAST_BITS["mixed"])
+    one_case = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    least = F.when(is_hex, LEAST_BITS["hex"]).when(mixed, LEAST_BITS["mixed"]).when(one_case, LEAST_BITS["one case"])
     return F.coalesce(F.when(least.isNotNull() & ~value.rlike(ALLOWED), most_entropy(value) >= least), F.lit(False))
 
 
@@ -106,7 +112,8 @@ a AS (SELECT doc_id, t,
   {duckdb_spans("t", ACCESS, 1)} AS access, {duckdb_spans("t", HEX, 2)} AS hex, {duckdb_spans("t", CANDIDATE, 3)} AS c FROM t),
 cand AS (SELECT doc_id, unnest(c) AS x FROM a),
 cls AS (SELECT doc_id, x, CASE WHEN regexp_matches(x.v, '^[0-9a-fA-F]+$') AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-fA-F]') THEN {LEAST_BITS["hex"]}
-    WHEN regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]') THEN {LEAST_BITS["mixed"]} END AS least FROM cand),
+    WHEN regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]') THEN {LEAST_BITS["mixed"]}
+    WHEN regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') THEN {LEAST_BITS["one case"]} END AS least FROM cand),
 ok AS (SELECT * FROM cls WHERE least IS NOT NULL AND NOT regexp_matches(x.v, '{_RE2_ALLOWED}')),
 win AS (SELECT doc_id, x, least, unnest(range(0, length(x.v) - 19)) AS i FROM ok),
 ch AS (SELECT doc_id, x, least, i, substr(x.v, i + k, 1) AS c, count(*) AS n FROM win, range(1, 21) AS r(k) GROUP BY ALL),
