@@ -78,17 +78,20 @@ def bad_hosts(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOS
     """Hosts (null is one of its own) whose failure rate, shrunk towards the corpus by a beta prior, exceeds ``max_rate``.
 
     The prior comes from all hosts by moments: its mean is the overall rate, its strength follows from how much the hosts'
-    rates differ. ``judged`` needs ``host`` and base_failed."""
+    rates differ beyond what the binomial noise of hosts of these sizes explains (the hosts' intra-class correlation).
+    ``judged`` needs ``host`` and base_failed."""
     hosts = stash(
         judged.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures")), "hosts"
     )
     rate = F.col("failures") / F.col("n")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f")).first()
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.count("*").alias("k"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
     if not total["n"]:
         return hosts.select(host)
-    mean = total["f"] / total["n"]
-    spread = hosts.agg((F.sum(F.col("n") * F.pow(rate - F.lit(mean), 2)) / total["n"]).alias("v")).first()["v"]
-    strength = mean * (1 - mean) / spread - 1 if spread > 0 else MAX_STRENGTH
+    n, k, mean = total["n"], total["k"], total["f"] / total["n"]
+    squares = hosts.agg(F.sum(F.col("n") * F.pow(rate - F.lit(mean), 2)).alias("s")).first()["s"]
+    noise, room = mean * (1 - mean), n - total["nn"] / n - k + 1
+    between = (squares / noise - (k - 1)) / room if noise > 0 and room > 0 else 0.0
+    strength = 1 / between - 1 if between > 0 else MAX_STRENGTH
     strength = min(max(strength, MIN_STRENGTH), MAX_STRENGTH)
     shrunk = (F.col("failures") + mean * strength) / (F.col("n") + strength)
     return hosts.where(shrunk > max_rate).select(host)
@@ -136,8 +139,8 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
 mu AS (SELECT sum(f) / sum(n) AS m FROM hosts),
-vr AS (SELECT m, sum(n * (f / n - m) * (f / n - m)) / sum(n) AS v FROM hosts, mu GROUP BY m),
-prior AS (SELECT m, CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM vr),
+vr AS (SELECT m, sum(n * (f / n - m) * (f / n - m)) AS ss, count(*) - 1 AS df, sum(n - 1) - sum((n - 1) * n) / sum(n) AS room FROM hosts, mu GROUP BY m),
+prior AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND room > 0 AND ss > df * m * (1 - m) THEN greatest(2.0, least(1000.0, m * (1 - m) * room / (ss - df * m * (1 - m)) - 1)) ELSE 1000.0 END AS s FROM vr),
 bad AS (SELECT source FROM hosts, prior WHERE (f + m * s) / (n + s) > 0.5),
 judged AS (
   SELECT b.*, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b)
