@@ -143,6 +143,12 @@ def scored(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode(F.concat(*[one(k) for k in KINDS])).alias("x")).select("doc_id", "x.*")
 
 
+def with_score(kind: str):
+    """A span with its score in hundredths as ``c``."""
+    score = _score(kind, kind in ("card", "iban"))
+    return lambda x: x.withField("c", F.round(100 * score(x)).cast("int"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -150,6 +156,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("_base"), KINDS), 256).alias("base_sha256"),
         joined(F.concat("_base", *KINDS[4:]), KINDS).alias("spans"),
+        joined(F.concat(*[F.transform(k, with_score(k)) for k in KINDS]), KINDS, "c").alias("scores"),
     )
 
 
@@ -158,10 +165,15 @@ _LUHN = f"list_sum(list_transform(range(1, length({_DIG}) + 1), lambda i: CASE W
 _NUM = "array_to_string(list_transform(string_split(x.v[5:] || x.v[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), '')"
 
 
-def _least(kind: str, checked: bool) -> str:
-    near = "lower(x.b || ' ' || x.a)"
-    start = PRIOR[kind] + (CHECKSUM if checked else 0)
-    return f"least(greatest({start} + CASE WHEN regexp_matches({near}, '{WORDS[kind]}') THEN {NEARBY} ELSE 0 END - CASE WHEN regexp_matches({near}, '{AGAINST}') THEN {NEARBY} ELSE 0 END, 0), 1) >= {LEAST}"
+def _points(kind: str) -> str:
+    near = "lower(right(left(t, x.s), 40) || ' ' || substr(t, x.e + 1, 40))"
+    start = round(100 * (PRIOR[kind] + (CHECKSUM if kind in ("card", "iban") else 0)))
+    step = round(100 * NEARBY)
+    return f"least(greatest({start} + CASE WHEN regexp_matches({near}, '{WORDS[kind]}') THEN {step} ELSE 0 END - CASE WHEN regexp_matches({near}, '{AGAINST}') THEN {step} ELSE 0 END, 0), 100)"
+
+
+def _least(kind: str) -> str:
+    return f"{_points(kind)} >= {round(100 * LEAST)}"
 
 
 _FREE = "len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0"
@@ -171,10 +183,11 @@ a AS (SELECT doc_id, {duckdb_spans("t", EMAIL, 0)} AS email,
   list_filter({duckdb_spans("t", IP, 1)}, lambda x: len(list_filter(string_split(x.v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast('0' || ltrim(p, '0') AS INT), 999) > 255)) = 0) AS ip,
   list_filter({duckdb_spans("t", CARD, 2)}, lambda x: length({_DIG}) BETWEEN 12 AND 19 AND {_LUHN}) AS card,
   list_filter({duckdb_spans("t", PHONE, 3)}, lambda x: length({_DIG}) BETWEEN 9 AND 15) AS phone,
-  list_filter({duckdb_spans("t", "\\b" + IBAN + "\\b", 4)}, lambda x: (try_cast({_NUM} AS DECIMAL(38, 0)) % 97 = 1 OR length({_NUM}) > 38 AND ((left({_NUM}, 20)::DECIMAL(38, 0) % 97)::VARCHAR || {_NUM}[21:])::DECIMAL(38, 0) % 97 = 1) AND {_least("iban", True)}) AS iban0,
-  list_filter({duckdb_spans("t", "\\b" + SSN + "\\b", 5)}, lambda x: {_least("ssn", False)}) AS ssn0 FROM t),
+  list_filter({duckdb_spans("t", "\\b" + IBAN + "\\b", 4)}, lambda x: (try_cast({_NUM} AS DECIMAL(38, 0)) % 97 = 1 OR length({_NUM}) > 38 AND ((left({_NUM}, 20)::DECIMAL(38, 0) % 97)::VARCHAR || {_NUM}[21:])::DECIMAL(38, 0) % 97 = 1) AND {_least("iban")}) AS iban0,
+  list_filter({duckdb_spans("t", "\\b" + SSN + "\\b", 5)}, lambda x: {_least("ssn")}) AS ssn0, t FROM t),
 b AS (SELECT *, email || ip || card || phone AS base FROM a),
 f AS (SELECT *, list_filter(iban0, lambda x: {_FREE}) AS iban, list_filter(ssn0, lambda x: {_FREE}) AS ssn FROM b)
 SELECT doc_id, {", ".join(f"len({k})::BIGINT AS n_{k}" for k in KINDS)},
-  sha256({duckdb_joined("base", KINDS)}) AS base_sha256, {duckdb_joined("base || iban || ssn", KINDS)} AS spans FROM f
+  sha256({duckdb_joined("base", KINDS)}) AS base_sha256, {duckdb_joined("base || iban || ssn", KINDS)} AS spans,
+  {duckdb_joined(" || ".join(f"list_transform({k}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e, 'c': {_points(k)}}})" for k in KINDS), KINDS, "x.c")} AS scores FROM f
 """

@@ -15,6 +15,8 @@ from .common import let
 MARK, PLAIN, DOUBLED = "\x01", "\x02", "\x03"
 #: Length of the context kept on each side of a match.
 CONTEXT = 40
+#: Parts walked together.
+BLOCK = 1024
 
 SPAN = "array<struct<s:int,k:int,e:int,v:string,before:string,after:string>>"
 
@@ -34,13 +36,15 @@ def find_spans(text: Column, pattern: str, kind: int, ahead: int = CONTEXT) -> C
         # every second part is a match and not empty, so a context lies within twice as many parts as it has code points
         tails = F.transform(p, lambda x: F.right(x, F.lit(CONTEXT)))
         heads = F.transform(p, lambda x: F.left(x, F.lit(ahead)))
-        return let(F.struct(tails.alias("tails"), heads.alias("heads")), lambda ends: _walk(p, ends["tails"], ends["heads"], kind, ahead))
+        found = let(F.struct(tails.alias("tails"), heads.alias("heads")), lambda ends: _walk(p, ends["tails"], ends["heads"], kind, ahead))
+        return F.when(F.size(p) > 1, found).otherwise(F.array().cast(SPAN))
 
     return let(parts, fold)
 
 
 def _walk(p: Column, tails: Column, heads: Column, kind: int, ahead: int) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+    """The spans of all parts. Parts are walked in blocks, as each span is appended to the array of those before it in its
+    block: the work is in proportion to the number of matches."""
 
     def before(i: Column) -> Column:
         last = F.get(tails, i - 1)
@@ -60,14 +64,28 @@ def _walk(p: Column, tails: Column, heads: Column, kind: int, ahead: int) -> Col
         out = F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"])
         return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), out.cast(SPAN).alias("out"))
 
-    return F.aggregate(p, zero, step, lambda a: a["out"])
+    block = lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(F.lit(0), ((F.size(p) - 1) / BLOCK).cast("int"))
+    length = lambda k: F.aggregate(block(k), F.lit(0), lambda n, x: n + F.char_length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda a, k: F.struct((a["at"] + length(k)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
 
+    def inside(bases: Column) -> Column:
+        def one(k: Column) -> Column:
+            zero = F.struct(F.get(bases, k).alias("at"), (k * BLOCK).alias("i"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(block(k), zero, step, lambda a: a["out"])
 
-def joined(spans: Column, kinds: list[str]) -> Column:
-    """``kind:start:end`` of each span by start, then kind in the order of ``kinds``, joined by commas."""
+        return F.flatten(F.transform(blocks, one))
+
+    return let(F.aggregate(blocks, start, add, lambda a: a["out"]), inside)
+
+
+def joined(spans: Column, kinds: list[str], *more: str) -> Column:
+    """``kind:start:end`` (and the fields ``more``) of each span by start, then kind in the order of ``kinds``, joined by
+    commas."""
     names = F.array(*[F.lit(k) for k in kinds])
-    keys = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-    return F.array_join(F.transform(keys, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
+    keys = F.array_sort(F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("s", "k", "e", *more)])))
+    return F.array_join(F.transform(keys, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"], *[x[c] for c in more])), ",")
 
 
 def duckdb_spans(text: str, pattern: str, kind: int) -> str:
@@ -78,6 +96,8 @@ def duckdb_spans(text: str, pattern: str, kind: int) -> str:
     return f"list_transform(range(1, len({p})//2 + 1), lambda k: {{'s': {at}::BIGINT, 'k': {kind}, 'e': ({at} + length({p}[2*k]))::BIGINT, 'v': {p}[2*k], 'b': right({p}[2*k-1], {CONTEXT}), 'a': left({p}[2*k+1], {CONTEXT})}})"
 
 
-def duckdb_joined(spans: str, kinds: list[str]) -> str:
+def duckdb_joined(spans: str, kinds: list[str], *more: str) -> str:
     names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
-    return f"coalesce(array_to_string(list_transform(list_sort(list_transform({spans}, lambda x: [x.s, x.k, x.e])), lambda x: {names}[x[2] + 1] || ':' || x[1] || ':' || x[3]), ','), '')"
+    key = ", ".join(["x.s", "x.k", "x.e", *more])
+    rest = "".join(f" || ':' || x[{4 + i}]" for i in range(len(more)))
+    return f"coalesce(array_to_string(list_transform(list_sort(list_transform({spans}, lambda x: [{key}])), lambda x: {names}[x[2] + 1] || ':' || x[1] || ':' || x[3]{rest}), ','), '')"
