@@ -186,30 +186,29 @@ def _divided(cells: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ``cells``: the path of pivots ``cell``, the last pivot's size ``pn`` and label ``home``, and of each member: node, n, common
     shingles ``c`` with that pivot, label (members with one label are connected) and its difference ``delta`` from it.
 
-    Two sets x and y with k shingles in common share pn - c_x - c_y + k of their differences. A link needs k of at least
-    percent (n_x + n_y) / (100 + percent), and of at least percent n / 100 of either; so bounds of what its partners have give the
-    number ``o`` of a member, never less than 1, as members within the radius of the pivot bear one label. Members whose heads
-    (all but o - 1 of the difference, rarest first) share no shingle with one of another label have no link."""
+    Two sets x and y with k shingles in common share pn - c_x - c_y + k of their differences, and a link needs
+    k >= percent (n_x + n_y) / (100 + percent): so they share at least s_x + s_y, with s = pn / 2 - c + percent n / (100 + percent),
+    and at least 1, as members within the radius of the pivot bear one label. Neither can share more than the ``u`` shingles of
+    its difference that members of another label have too. With g = u - s, a link needs s_y <= g_x and s_x <= g_y; the greatest
+    g by s of a cell, as whole numbers, tells which members can have a partner and the least ``o`` that they share with one. Then
+    members whose heads (all but o - 1 of the difference, rarest first) share no shingle have no link."""
     is_main = F.col("label") == F.col("home")
-    share = percent / (100 + percent)
-    slack = F.col("pn") / 2 - F.col("c") + share * F.col("n")
-    bounds = cells.groupBy("cell").agg(
-        F.min(F.when(is_main, slack)).alias("f_main"), F.min(F.when(~is_main, slack)).alias("f_other"),
-        F.max(F.when(is_main, F.col("c"))).alias("c_main"), F.max(F.when(~is_main, F.col("c"))).alias("c_other"),
-    )
     tokens = cells.select("cell", "node", "label", F.explode("delta").alias("h"))
     held = tokens.groupBy("cell", "h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    held = held.where("lo <> hi").select("cell", "h", "df")  # what one label holds alone is never shared by a new pair
+    held = held.where("lo <> hi").select("cell", "h", "df")
     by = tokens.join(held, ["cell", "h"]).groupBy("cell", "node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
-    rows = cells.withColumn("size", F.size("delta")).drop("delta").join(by, ["cell", "node"]).join(bounds, "cell")
-    f_partner = F.when(is_main, F.col("f_other")).otherwise(F.least("f_main", "f_other"))
-    c_partner = F.when(is_main, F.col("c_other")).otherwise(F.greatest("c_main", "c_other"))
-    o = F.greatest(
-        F.lit(1).cast("long"), F.ceil(slack + f_partner - 1e-6), F.col("pn") - F.col("c") - c_partner + _needed_col(F.col("n"), percent)
-    )
+    rows = cells.withColumn("size", F.size("delta")).drop("delta").join(by, ["cell", "node"])
+    rows = rows.withColumn("s", F.col("pn") / 2 - F.col("c") + percent / (100 + percent) * F.col("n"))
+    rows = rows.withColumn("g", F.size("by") - F.col("s") + 1e-6).withColumn("main", is_main)
+    rows = stash(rows, "rows")
+    steps = rows.groupBy("cell", "main", F.floor("s").alias("s")).agg(F.max("g").alias("g"))
+    profile = steps.groupBy("cell").agg(F.collect_list(F.struct("main", "s", "g")).alias("profile"))  # as many as differences have sizes
+    fits = lambda t: (~t["main"] | ~F.col("main")) & (t["s"] <= F.col("g")) & (F.col("s") <= t["g"])
+    rows = rows.join(profile, "cell").withColumn("partner", F.array_min(F.filter("profile", fits)["s"])).where("partner IS NOT NULL")
+    o = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("s") + F.col("partner") - 1e-6))
     lone = F.col("size") - F.size("by")
     rows = rows.withColumn("lone", lone / F.col("size")).withColumn("take", (F.col("size") - o + 1 - lone).cast("int")).where("take > 0")
-    regions = rows.select("cell", "node", "label", is_main.alias("main"), "lone", F.explode(F.slice("by", F.lit(1), F.col("take"))["h"]).alias("h"))
+    regions = rows.select("cell", "node", "label", "main", "lone", F.explode(F.slice("by", F.lit(1), F.col("take"))["h"]).alias("h"))
     regions = stash(regions, "regions")
     pivots = regions.groupBy("cell", "h").agg(
         F.min(F.struct("main", "lone", "node"))["node"].alias("q1"), F.min(F.struct("main", F.xxhash64("node"), "node"))["node"].alias("q2"),
@@ -350,9 +349,11 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     heads = stash(shingle_table(rows, False, words, percent).withColumn("row", F.monotonically_increasing_id()), "heads")
     named = _named_sets(rows, heads, words, percent)
     labels = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("label"))
-    lowest = named.join(labels, "digest").groupBy("component").agg(F.min("label").alias("lowest"))
-    named = maybe_broadcast(stash(named.join(lowest, "component").select("digest", "lowest"), "named"))
-    out = heads.select("doc_id", "n", "digest").join(named, "digest", "left")
+    lowest = stash(named.join(labels, "digest").groupBy("component").agg(F.min("label").alias("lowest")), "lowest")
+    named = maybe_broadcast(stash(named.join(maybe_broadcast(lowest), "component").select("digest", "lowest"), "named"))
+    rows = heads.select("doc_id", "n", "digest")
+    empty = F.col("digest").isNull()  # not joined, as all of them would meet in one task
+    out = rows.where(~empty).join(named, "digest", "left").unionByName(rows.where(empty).withColumn("lowest", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
@@ -368,6 +369,7 @@ def drop_near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERC
     grouped = heads.where("n > 0").select("doc_id", "f1", "f2", "digest").join(maybe_broadcast(named), "digest")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1", "f2")
     keepers = grouped.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
+    keepers = maybe_broadcast(stash(keepers, "keepers"))
     return keep_told(docs, grouped.join(keepers, "component").select("doc_id", "f1", "f2", (place == F.col("keeper")).alias("keeps")))
 
 

@@ -26,13 +26,13 @@ MANIFEST = "shard long, path string, width int, n_docs long, n_null long, n_toke
 RANGE_DOCS = 10_000
 
 
-def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_blanks: bool, end_id: int, width: int, added: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_blanks: bool, end_id: int, width: int) -> DataFrame:
     """Writes the ids of every row's whole text (null: empty) and ``end_id`` in ascending doc_id order (null first) to shards
     in ``folder``, a place that all executors share; returns the manifest with bases.
 
     Rows are dealt to shards by ranges of doc_id; repeated rows stand side by side. An attempt writes files of its own name
     and the manifest holds only the attempts that ended well, so lost executors leave no wrong rows. An id that ``width`` bytes
-    can't hold is an error. An empty table writes no shard. ``added``: as for WordMemo."""
+    can't hold is an error. An empty table writes no shard."""
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str, keeps_bl
         where, base = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}"
-        encoder = memo(vocabulary_path, keeps_blanks, added)
+        encoder = memo(vocabulary_path, keeps_blanks)
         end = np.array([end_id], "<u4").tobytes()
         n_docs = n_null = total = 0
         out = {}
@@ -128,6 +128,6 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     manifest = write_tokens(
-        table(spark, sf_dir, "documents"), folder, vocabulary_path=vocabulary("word_bpe_49k.json"), keeps_blanks=False, end_id=END_ID, width=2, added=True
+        table(spark, sf_dir, "documents"), folder, vocabulary_path=vocabulary("word_bpe_49k.json"), keeps_blanks=False, end_id=END_ID, width=2
     )
     return read_tokens(manifest, folder)

@@ -32,16 +32,15 @@ class WordMemo:
     A text is cut at single blanks or line ends between other characters, where neither tokenizer can join what stands
     before and after; each part is encoded once and kept. A text that has other white space at such places is encoded as a
     whole. ``keeps_blanks``: whether the blank before a word is part of its token (byte-level vocabularies) or dropped.
-    ``added``: whether a special string of the vocabulary in a text gives its own id, as that call does when nothing else is
-    set (a text that holds one is encoded as a whole), or is ordinary text (``encode_special_tokens``).
+    A special string of the vocabulary in a text gives its own id, as that call does; a text that holds one is encoded as a
+    whole.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, added: bool = False):
+    def __init__(self, path: str, keeps_blanks: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # in any case of letters, as some are looked up in the normalized text
         self.holds_added = re.compile("|".join(map(re.escape, strings)), re.I).search if strings else lambda text: None
         self.parts = re.compile(r"[ \n]?[^ \n]+" if keeps_blanks else r"[^ \n]+").findall
@@ -78,16 +77,15 @@ class WordMemo:
         return out
 
 
-def memo(path: str, keeps_blanks: bool, added: bool = False) -> WordMemo:
-    """The worker's memo for a vocabulary and treatment of its special strings; it lives as long as the Python worker, over all its tasks."""
+def memo(path: str, keeps_blanks: bool) -> WordMemo:
+    """The worker's memo for a vocabulary; it lives as long as the Python worker, over all its tasks."""
     holder = sys.modules.setdefault("_factlake_word_memos", types.ModuleType("_factlake_word_memos"))
-    name = f"{path} {added}"
-    if name not in holder.__dict__:
+    if path not in holder.__dict__:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        holder.__dict__[name] = WordMemo(path, keeps_blanks, added)
-    return holder.__dict__[name]
+        holder.__dict__[path] = WordMemo(path, keeps_blanks)
+    return holder.__dict__[path]
 
 
 def in_slices(values: list, count: int = 256, chars: int = 1 << 20) -> Iterator[tuple[int, list]]:

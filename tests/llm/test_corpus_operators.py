@@ -30,9 +30,7 @@ def documents(spark, texts, ids=None, sources=None):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
 
 
 def ids_of(name, text, end):
