@@ -1,7 +1,9 @@
 """A corpus pipeline of the training-data operators: rules, exact copies, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every result as Parquet and rereads it as the
-next stage's docs.
+next stage's docs. All stages take nulls in any column, empty and very long texts, repeated rows and ids, extra columns, and
+tables without rows, which stay without rows. Rows are decided one by one and never by doc_id alone, so rows that share an id
+but not a text do not meet.
 """
 
 from __future__ import annotations
@@ -20,33 +22,38 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the document and host rules keep."""
+    """Rows that the document and host rules keep. A null or short text fails; rows without source are one host; repeated rows are
+    judged and kept each."""
     return keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of texts that are equal without their blanks (null is empty): the longest text, then the smallest
+    doc_id (null last), then the smallest fingerprint of all columns; of rows equal in all columns any one."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies."""
+    """One row of each component of near copies: the smallest doc_id (null last), then the smallest fingerprint of all columns; of
+    rows equal in all columns any one. Rows without words stay."""
     return drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them."""
+    """Rows as often as the mix takes them; the last repetition of a row may be its first words alone. Rows without words are taken
+    by no mix, equal rows are interchangeable, and null is a source of its own, the last."""
     return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows with their sequence and place."""
-    return pack_documents(docs, added=True)
+    """Pieces of all rows with their sequence and place; repeated rows and rows without doc_id have pieces of their own."""
+    return pack_documents(docs)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixed), ("pack", packed)]
 
-#: Near copies, mixing by seeded hashes and tokenizers have no SQL form; tests hold each stage against plain Python.
+#: Near copies, mixing by seeded hashes and tokenizers have no SQL form; tests/llm/test_methods.py holds each stage against plain
+#: Python, row by row.
 ORACLE_SQL = None
 
 
