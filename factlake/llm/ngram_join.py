@@ -57,12 +57,18 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _least_hits(spare):
+    """Shingles of its head that a set with ``spare`` more than it needs shares with another one, if the two are linked: half as
+    many as it may lack. More would be a sharper test and longer heads."""
+    return (spare + 2) // 2 if isinstance(spare, int) else F.expr(f"({spare} + 2) div 2")
+
+
 def shingle_table(rows: DataFrame, whole: bool, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``rows`` with ``text`` replaced by n, digest (of the set, 128 bits; null if empty) and hashes: the whole set, or its head
     by hash.
 
-    Of a pair that shares k shingles, heads of n - k + m share m. A head holds one more than n - needed + m shingles with
-    m = n - needed + 1, as a partner that is smaller by one may have the smaller m."""
+    Of a pair that shares k shingles, heads of n - k + m share m. A head holds one more than n - needed + m shingles with m of
+    ``_least_hits``, as a partner that is smaller by one may have the m that is smaller by one."""
     carried = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +78,7 @@ def shingle_table(rows: DataFrame, whole: bool, words: int = WORDS, percent: int
             texts = b.column("text")
             for at in range(0, len(texts), 500):
                 sets = [shingle_set(t, words) for t in texts.slice(at, 500).to_pylist()]
-                heads = sets if whole else [s[: 2 * (len(s) - _needed(len(s), percent)) + 2] for s in sets]
+                heads = sets if whole else [s[: (spare := len(s) - _needed(len(s), percent)) + _least_hits(spare) + 1] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 flat = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -100,7 +106,8 @@ def _candidates(heads: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("h").count().where("count > 1").select("h")
     hits = tokens.join(shared, "h").groupBy("row").agg(F.count("*").alias("hits"))
     rows = heads.where("n > 0").select("row", "doc_id", "digest", "n").join(hits, "row")
-    return rows.where(F.col("hits") >= F.col("n") - _needed_col(F.col("n"), percent) + 1).select("doc_id", "digest", "n")
+    rows = rows.withColumn("spare", F.col("n") - _needed_col(F.col("n"), percent))
+    return rows.where(F.col("hits") >= _least_hits("spare")).select("doc_id", "digest", "n")
 
 
 def _labelled(rows: DataFrame, named: DataFrame, node: str, name: str) -> DataFrame:

@@ -78,14 +78,14 @@ def test_cells_against_all_pairs(spark, monkeypatch, leaf):
     monkeypatch.setattr(ngram_join, "LEAF_MEMBERS", leaf)
     rng = random.Random(leaf)
     sets = set()
-    for f in range(3):  # families whose members are at all distances from each other
+    for f in range(2):  # families whose members are at all distances from each other
         base = range(1000 * f, 1000 * f + 30 + 10 * f)
         sets |= {edited(rng, base, range(9000 + 100 * f, 9000 + 100 * f + 20), 10) for _ in range(40)}
     sets = sorted(sets - {frozenset()}, key=sorted)
     table = stash(spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, n long, hashes array<long>"))
     found = dict(tuple(r) for r in ngram_join._node_components(table, 80).collect())
     want = brute(sets, 80)
-    assert [found.get(i, i) for i in range(len(sets))] == want and len(set(want)) > 5
+    assert [found.get(i, i) for i in range(len(sets))] == want and len(set(want)) > 3
 
 
 def test_work_on_a_large_group_is_in_proportion(spark, monkeypatch):
