@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -41,8 +42,10 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # in any case of letters, as some are looked up in the normalized text
-        self.holds_added = re.compile("|".join(map(re.escape, strings)), re.I).search if strings else lambda text: None
+        # in any case of letters, as some are looked up in the normalized text; what all begin with is looked for first, as that is quick
+        search = re.compile("|".join(map(re.escape, strings)), re.I).search if strings else lambda text: None
+        start = re.match(r"[^\w]*", os.path.commonprefix(strings))[0]
+        self.holds_added = lambda text: start in text and search(text) is not None
         self.parts = re.compile(r"[ \n]?[^ \n]+" if keeps_blanks else r"[^ \n]+").findall
         self.keeps_blanks = keeps_blanks
         self.kept: dict[str, bytes] = {}
@@ -59,7 +62,7 @@ class WordMemo:
         if len(kept) > KEPT_WORDS:
             for _ in range(DROPPED_WORDS):  # the first seen are the most frequent
                 kept.popitem()
-        whole = [self.holds_added(t) is not None for t in texts]
+        whole = [self.holds_added(t) for t in texts]
         cut = [[] if w else self.parts(t) for t, w in zip(texts, whole)]
         new = list({p for parts in cut for p in parts if p not in kept})
         unsafe = {p for p in new if self._unsafe(p)} if self.keeps_blanks else set()
@@ -81,8 +84,6 @@ def memo(path: str, keeps_blanks: bool) -> WordMemo:
     """The worker's memo for a vocabulary; it lives as long as the Python worker, over all its tasks."""
     holder = sys.modules.setdefault("_factlake_word_memos", types.ModuleType("_factlake_word_memos"))
     if path not in holder.__dict__:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         holder.__dict__[path] = WordMemo(path, keeps_blanks)
     return holder.__dict__[path]
