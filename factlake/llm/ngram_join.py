@@ -6,13 +6,13 @@ those of its nearest pivots, as many as a partner within the radius may lack, an
 region is its document pivot, and regions with one document pivot are one cell: its members within the radius are linked through
 it and need no further comparison with each other.
 
-A cell whose members are not yet connected is joined recursively. Each member stands for its difference from the cell's pivot.
-Of two linked members of which one lies beyond the radius of the pivot, both deviate from it in common (the counts follow from
-the triangle inequality of set differences), so the cell falls into regions by single shingles of the differences, again rarest
-first. Each region has two document pivots: they create Voronoi cells, every member goes to the cell of the nearest one and, by
-the triangle inequality, to the other's as well if its distance there is at most two radii more. Cells shrink by their pivots at
-least, and once small they end in one task each, where every further pivot narrows the window of the next. Pairs already in one
-component are never formed. Whole sets, or whole differences, decide every link.
+A cell whose members are not yet connected is joined by their differences from its pivot. A small one ends in one task. Of a large one
+only members go on that can have a partner of another label: of two linked members of which one lies beyond the radius of the
+pivot, both deviate from it in common, and the counts follow from the triangle inequality of set differences. They are dealt over
+blocks by their distance to the pivot, and pairs of blocks whose distances can have links are joined, each in one task. Nothing
+is divided again, so members that lie just beyond the radius of each other and share what they differ in cost a comparison each,
+and no further copies of their differences. Pairs already in one component are never formed. Whole sets, or whole differences,
+decide every link.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-#: A cell of at most so many members and shingles of their differences is divided no further but joined in one task.
-LEAF_MEMBERS, LEAF_SHINGLES = 256, 1 << 18
+#: A cell, or one of two blocks, of at most so many members and shingles of their differences is joined in one task.
+LEAF_MEMBERS, LEAF_SHINGLES = 1024, 1 << 18
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -164,12 +164,12 @@ def _first_cells(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, D
     rows = labelled.join(maybe_broadcast(opened), "p", "left_semi")
     cells = stash(
         _measured(rows, sets, percent).select(
-            F.array("p").alias("cell"), F.col("np").alias("pn"), "home", F.col("x").alias("node"), "n", "c",
+            F.col("p").alias("cell"), F.col("np").alias("pn"), "home", F.col("x").alias("node"), "n", "c",
             F.when(F.col("linked"), F.col("home")).otherwise(F.col("label")).alias("label"), "delta", "linked", F.col("label").alias("_was"),
         ),
         "cells",
     )
-    more = cells.where("linked AND _was <> home").select(F.col("node").alias("x"), F.element_at("cell", -1).alias("p"))
+    more = cells.where("linked AND _was <> home").select(F.col("node").alias("x"), F.col("cell").alias("p"))
     forget(links, opened)
     return named, more, cells.drop("linked", "_was")
 
@@ -187,97 +187,100 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("linked", _linked(F.col("c"), F.col("n"), F.col("np"), percent))
 
 
-def _divided(cells: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links through the new pivots, members of the new cells) of cells that are too large for one task.
+def _blocks(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks of cells that are too large for one task: the last pivot's size ``pn`` and ``members``, those of both blocks.
 
-    ``cells``: the path of pivots ``cell``, the last pivot's size ``pn`` and label ``home``, and of each member: node, n, common
-    shingles ``c`` with that pivot, label (members with one label are connected) and its difference ``delta`` from it.
+    ``cells``: the pivot ``cell``, its size ``pn`` and label ``home``, and of each member: node, n, common shingles ``c`` with the
+    pivot, label (members with one label are connected) and its difference ``delta`` from it.
 
     Two sets x and y with k shingles in common share pn - c_x - c_y + k of their differences, and a link needs
     k >= percent (n_x + n_y) / (100 + percent): so they share at least s_x + s_y, with s = pn / 2 - c + percent n / (100 + percent),
     and at least 1, as members within the radius of the pivot bear one label. Neither can share more than the ``u`` shingles of
     its difference that members of another label have too. With g = u - s, a link needs s_y <= g_x and s_x <= g_y; the greatest
     g by s of a cell, as whole numbers, tells which members can have a partner and the least ``o`` that they share with one. Then
-    members whose heads (all but o - 1 of the difference, rarest first) share no shingle have no link."""
-    is_main = F.col("label") == F.col("home")
+    members whose heads (all but o - 1 of the difference, rarest first) share no shingle with another label have no link.
+
+    Members that are left are dealt by hash over blocks of like distance to the pivot. By the triangle inequality blocks whose
+    distances differ by more than the radius have no links with each other; two blocks of the pivot's own label need none. Every
+    other pair of blocks is joined in a task of its own, so the tasks' number grows with the square of a cell's members that can
+    have a partner, and what one task holds does not.
+
+    Files of members are far smaller than their rows, as members of a cell differ alike; so Spark is told not to broadcast them by
+    the size of their files."""
     tokens = cells.select("cell", "node", "label", F.explode("delta").alias("h"))
     held = tokens.groupBy("cell", "h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     held = held.where("lo <> hi").select("cell", "h", "df")
-    by = tokens.join(held, ["cell", "h"]).groupBy("cell", "node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
-    rows = cells.withColumn("size", F.size("delta")).drop("delta").join(by, ["cell", "node"])
+    by = tokens.join(held.hint("merge"), ["cell", "h"]).groupBy("cell", "node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
+    rows = cells.withColumn("main", F.col("label") == F.col("home")).withColumn("size", F.size("delta")).drop("delta", "home").join(by.hint("merge"), ["cell", "node"])
     rows = rows.withColumn("s", F.col("pn") / 2 - F.col("c") + percent / (100 + percent) * F.col("n"))
-    rows = rows.withColumn("g", F.size("by") - F.col("s") + 1e-6).withColumn("main", is_main)
-    rows = stash(rows, "rows")
+    rows = stash(rows.withColumn("g", F.size("by") - F.col("s") + 1e-6), "rows")
     steps = rows.groupBy("cell", "main", F.floor("s").alias("s")).agg(F.max("g").alias("g"))
-    profile = steps.groupBy("cell").agg(F.collect_list(F.struct("main", "s", "g")).alias("profile"))  # as many as differences have sizes
+    profile = stash(steps.groupBy("cell").agg(F.collect_list(F.struct("main", "s", "g")).alias("profile")), "profile")  # as many as differences have sizes
     fits = lambda t: (~t["main"] | ~F.col("main")) & (t["s"] <= F.col("g")) & (F.col("s") <= t["g"])
-    rows = rows.join(profile, "cell").withColumn("partner", F.array_min(F.filter("profile", fits)["s"])).where("partner IS NOT NULL")
+    able = rows.join(maybe_broadcast(profile, 1000), "cell").withColumn("partner", F.array_min(F.filter("profile", fits)["s"])).where("partner IS NOT NULL")
     o = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("s") + F.col("partner") - 1e-6))
-    lone = F.col("size") - F.size("by")
-    rows = rows.withColumn("lone", lone / F.col("size")).withColumn("take", (F.col("size") - o + 1 - lone).cast("int")).where("take > 0")
-    regions = rows.select("cell", "node", "label", "main", "lone", F.explode(F.slice("by", F.lit(1), F.col("take"))["h"]).alias("h"))
-    regions = stash(regions, "regions")
-    pivots = regions.groupBy("cell", "h").agg(
-        F.min(F.struct("main", "lone", "node"))["node"].alias("q1"), F.min(F.struct("main", F.xxhash64("node"), "node"))["node"].alias("q2"),
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-    ).where("lo <> hi")
-    both = F.explode(F.array_distinct(F.array("q1", "q2"))).alias("q")
-    met = regions.join(pivots.drop("lo", "hi"), ["cell", "h"]).select("cell", "h", "node", both).where("node <> q")
-    met = stash(met, "met")
-
-    pairs = met.select("cell", "node", "q").distinct()
-    pivot = cells.select("cell", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"), F.col("delta").alias("dq"))
-    both = pairs.join(cells.select("cell", "node", "n", "label", F.col("delta").alias("dx")), ["cell", "node"]).join(pivot, ["cell", "q"])
-    both = both.withColumn("delta", _difference("dx", "dq")).drop("dx", "dq").withColumn("c", F.expr("(n + nq - size(delta)) div 2"))
-    measured = stash(both.withColumn("linked", _linked(F.col("c"), F.col("n"), F.col("nq"), percent)), "distances")
-    links = measured.where("linked AND label <> lq").select(F.col("node").alias("x"), F.col("q").alias("p"))
-
-    window = 2 * (1 - percent / 100) + 1e-9
-    distance = 1 - F.col("c") / (F.col("n") + F.col("nq") - F.col("c"))
-    to_pivots = met.join(measured.select("cell", "node", "q", distance.alias("d")), ["cell", "node", "q"])
-    to_pivots = to_pivots.groupBy("cell", "h", "node").agg(F.collect_list(F.struct("d", "q")).alias("to"))  # one or two
-    inside = F.filter("to", lambda t: t["d"] <= F.array_min("to")["d"] + window)
-    kept = to_pivots.select("cell", "node", F.explode(inside["q"]).alias("q")).distinct()
-    new = kept.join(measured, ["cell", "node", "q"]).select(
-        F.concat("cell", F.array("q")).alias("cell"), F.col("nq").alias("pn"), F.col("lq").alias("home"), "node", "n", "c",
-        F.when(F.col("linked"), F.col("lq")).otherwise(F.col("label")).alias("label"), "delta",
-    )
-    links, new = stash(links, "links"), stash(new, "cells")
-    forget(regions, met, measured)
-    return links, new
-
-
-def small_cell_links(pn: int, node, n, c, label, sizes, flat, percent: int) -> list[tuple[int, int]]:
-    """Links (x, p) that connect all linked members of one cell: arrays of the members' columns as in ``_divided``, their
-    differences one after the other in ``flat``.
-
-    Members not of the main label are pivots in turn. A pivot meets the members that can share enough with it and whose
-    distances to the pivots before differ from its own by at most the radius."""
+    able = able.withColumn("take", (F.size("by") - o + 1).cast("int")).where("take > 0")
+    regions = stash(able.select("cell", "node", "label", F.explode(F.slice("by", F.lit(1), F.col("take"))["h"]).alias("h")), "regions")
+    met = regions.groupBy("cell", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell", "h")
+    heads = regions.join(met.hint("merge"), ["cell", "h"]).select("cell", "node").distinct()
+
+    radius = 1 - percent / 100
+    band = F.floor((1 - F.col("c") / (F.col("n") + F.col("pn") - F.col("c"))) / (radius / 2 + 1e-9))
+    rows = rows.withColumn("far", ~F.col("main")).withColumn("band", band).withColumn("by", F.col("by")["h"]).drop("s", "g", "main", "size")
+    rows = stash(rows.join(heads.hint("merge"), ["cell", "node"], "left_semi"), "distances")
+    of = ["cell", "far", "band"]
+    many = F.greatest(F.ceil(F.count("*") / max(1, LEAF_MEMBERS)), F.ceil(F.sum(F.size("by")) / LEAF_SHINGLES)).cast("int").alias("many")
+    dealt = stash(rows.groupBy(*of).agg(many), "sizes")
+    block = lambda k: F.struct("far", "band", k.alias("k"))
+    every = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("_k"), "far", "band").select("cell", block(F.col("_k")).alias("a"))
+    pairs = every.join(every.select("cell", F.col("a").alias("b")), "cell")
+    pairs = pairs.where((F.col("a") <= F.col("b")) & F.col("b")["far"] & (F.abs(F.col("a")["band"] - F.col("b")["band"]) <= 2))
+    pairs = stash(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = pairs.select("cell", "pair", F.col("a").alias("block"), (F.col("a") < F.col("b")).alias("left"))
+    sides = stash(sides.unionByName(pairs.where("a < b").select("cell", "pair", F.col("b").alias("block"), F.lit(False).alias("left"))), "sides")
+    rows = rows.join(maybe_broadcast(dealt), of).withColumn("block", block(F.pmod(F.xxhash64("node"), F.col("many")).cast("int")))
+    rows = rows.join(maybe_broadcast(sides), ["cell", "block"])
+    member = F.struct("node", "n", "c", "label", "left", F.col("by").alias("delta"))
+    return rows.groupBy("pair").agg(F.first("pn").alias("pn"), F.collect_list(member).alias("members"))
+
+
+def small_cell_links(pn: int, node, n, c, label, sizes, flat, percent: int, left=None) -> list[tuple[int, int]]:
+    """Links (x, p) that connect all linked members of one cell: arrays of the members' columns as in ``_blocks``, their
+    differences one after the other in ``flat``, ``sizes`` long. Shingles that members of one label alone have may be left out.
+    If ``left`` is true for some members, only pairs of one of them and one of the others are compared.
+
+    Each member not of the most common label (each one that is not left) meets those that can share enough with it and whose
+    distance to the pivot differs from its own by at most the radius; what they share is counted from lists of the holders of
+    each shingle."""
     if not len(flat):
         return []
+    member = np.repeat(np.arange(len(node)), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     shingles, token = np.unique(flat, return_inverse=True)
     _, root = np.unique(label, return_inverse=True)
-    owner = np.repeat(root, sizes)
     low, high = np.full(len(shingles), len(node)), np.full(len(shingles), -1)
-    np.minimum.at(low, token, owner)
-    np.maximum.at(high, token, owner)
-    useful = np.add.reduceat((low != high)[token].astype(np.int64), starts[:-1])  # others share no more of a difference
-    main = np.bincount(root).argmax()
-    found, seen, mark = [], [], np.zeros(len(shingles), np.int64)
-    for q in np.flatnonzero(root != main):
+    np.minimum.at(low, token, root[member])
+    np.maximum.at(high, token, root[member])
+    shared = low != high  # others share no more of a difference
+    useful = np.bincount(member[shared[token]], minlength=len(node))
+    holders = member[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token, minlength=len(shingles)))
+    begins = np.concatenate([[0], ends[:-1]])
+    distance = 1 - c / (n + pn - c)
+    across = left is not None and left.any()
+    found = []
+    for q in np.flatnonzero(~left if across else root != np.bincount(root).argmax()):
         need = -(-percent * (n + n[q]) // (100 + percent))
         able = (root != root[q]) & (np.minimum(useful, useful[q]) >= pn - c - c[q] + need)
-        for d in seen:
-            able &= np.abs(d - d[q]) <= 1 - percent / 100 + 1e-9
+        able &= np.abs(distance - distance[q]) <= 1 - percent / 100 + 1e-9
+        if across:
+            able &= left
         if not able.any():
             continue
         own = token[starts[q] : starts[q + 1]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[token], starts[:-1])
-        mark[own] = 0
-        common = (n + n[q] - (sizes + sizes[q] - 2 * both)) // 2
-        seen.append(1 - common / (n + n[q] - common))
+        own = own[shared[own]]
+        both = np.bincount(np.concatenate([holders[begins[t] : ends[t]] for t in own]), minlength=len(node)) if len(own) else np.zeros(len(node), np.int64)
+        common = both - pn + c + c[q]
         for x in np.flatnonzero(able & (100 * common >= percent * (n + n[q] - common))):
             if root[x] != root[q]:
                 found.append((int(node[x]), int(node[q])))
@@ -285,8 +288,8 @@ def small_cell_links(pn: int, node, n, c, label, sizes, flat, percent: int) -> l
     return found
 
 
-def _small_cells(cells: DataFrame, percent: int) -> DataFrame:
-    """Links (x, p) of whole small cells, each gathered in one row."""
+def _links_in_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (x, p) of whole small cells or of pairs of blocks, each gathered in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -294,37 +297,32 @@ def _small_cells(cells: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             found = []
             for pn, cell in zip(b.column("pn").to_pylist(), b.column("members")):
-                node, n, c, label, delta = cell.values.flatten()
+                node, n, c, label, left, delta = cell.values.flatten()
                 sizes = pc.list_value_length(delta).to_numpy().astype(np.int64)
                 values = [x.to_numpy().astype(np.int64) for x in (node, n, c, label)]
-                found += small_cell_links(pn, *values, sizes, delta.flatten().to_numpy(), percent)
+                left = left.to_numpy(zero_copy_only=False).astype(bool)
+                found += small_cell_links(pn, *values, sizes, delta.flatten().to_numpy(), percent, left)
             x, p = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(p, pa.int64())], ["x", "p"])
 
-    members = F.collect_list(F.struct("node", "n", "c", "label", "delta")).alias("members")
-    return cells.groupBy("cell").agg(F.first("pn").alias("pn"), members).select("pn", "members").mapInArrow(run, "x long, p long")
+    return cells.select("pn", "members").mapInArrow(run, "x long, p long")
 
 
 def _node_components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that link with another. ``sets``: node, n, hashes."""
     named, more, cells = _first_cells(sets, percent)
-    links = [more]
-    while True:
-        sizes = cells.groupBy("cell").agg(
-            F.count("*").alias("members"), F.sum(F.size("delta")).alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        )
-        small = (F.col("members") <= LEAF_MEMBERS) & (F.col("shingles") <= LEAF_SHINGLES)
-        opened = stash(sizes.where("lo <> hi").select("cell", small.alias("small")), "sizes")
-        some = cells.join(maybe_broadcast(opened.where("small")), "cell", "left_semi")
-        links.append(stash(_small_cells(some, percent), "links"))
-        large = opened.where("NOT small")
-        if large.isEmpty():
-            break
-        found, cells = _divided(stash(cells.join(maybe_broadcast(large), "cell", "left_semi"), "cells"), percent)
-        links.append(found)
-    every = links[0]
-    for some in links[1:]:
-        every = every.unionByName(some)
+    sizes = cells.groupBy("cell").agg(
+        F.count("*").alias("members"), F.sum(F.size("delta")).alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    small = (F.col("members") <= LEAF_MEMBERS) & (F.col("shingles") <= LEAF_SHINGLES)
+    opened = stash(sizes.where("lo <> hi").select("cell", small.alias("small")), "sizes")
+    some = cells.join(maybe_broadcast(opened.where("small")), "cell", "left_semi")
+    members = F.collect_list(F.struct("node", "n", "c", "label", F.lit(False).alias("left"), "delta")).alias("members")
+    every = more.unionByName(stash(_links_in_cells(some.groupBy("cell").agg(F.first("pn").alias("pn"), members), percent), "links"))
+    large = opened.where("NOT small")
+    if not large.isEmpty():
+        wide = stash(cells.join(maybe_broadcast(large), "cell", "left_semi"), "cells")
+        every = every.unionByName(stash(_links_in_cells(_blocks(wide, percent), percent), "links"))
     return _merged(named, every)
 
 
