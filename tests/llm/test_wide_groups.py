@@ -3,6 +3,8 @@ and share what they differ in."""
 
 import random
 
+import pytest
+
 from factlake.llm import ngram_join
 from factlake.llm.common import DOCUMENTS, stash
 
@@ -20,9 +22,9 @@ def variants(n):
     return out
 
 
-def lowest(texts):
+def lowest(texts, words, percent):
     w = [t.split() for t in texts]
-    sets = [{tuple(x[i : i + 4]) for i in range(len(x) - 3)} for x in w]
+    sets = [{tuple(x[i : i + words]) for i in range(len(x) - words + 1)} for x in w]
     low = list(range(len(sets)))
 
     def root(x):
@@ -32,13 +34,14 @@ def lowest(texts):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if root(i) != root(j) and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if root(i) != root(j) and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 x, y = sorted((root(i), root(j)))
                 low[y] = x
     return [root(i) for i in range(len(sets))]
 
 
-def test_members_beyond_the_radius_are_not_dealt_again_and_again(spark, monkeypatch):
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])  # op6 and the near stage of the pipeline
+def test_members_beyond_the_radius_are_not_dealt_again_and_again(spark, monkeypatch, words, percent):
     rows = {}
 
     def counted(df, what="stash"):
@@ -50,7 +53,7 @@ def test_members_beyond_the_radius_are_not_dealt_again_and_again(spark, monkeypa
     monkeypatch.setattr(ngram_join, "LEAF_MEMBERS", 64)
     texts = variants(600)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCUMENTS)
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == lowest(texts)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, words=words, percent=percent).collect()}
+    assert [got[i] for i in range(len(texts))] == lowest(texts, words, percent)
     assert rows["rows"] > 100 and len(set(got.values())) > 100
     assert sum(rows.get(k, 0) for k in ("met", "cells", "distances", "rows")) < 30 * len(texts)
